@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["split"]
+MODULES = ["split", "markup"]
 
 
 def _all(name: str) -> dict:
