@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["split", "markup"]
+MODULES = ["split", "markup", "scans"]
 
 
 def _all(name: str) -> dict:
