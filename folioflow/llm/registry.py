@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["split", "markup", "scans", "cutoff", "abuse"]
+MODULES = ["split", "markup", "scans", "cutoff", "abuse", "names"]
 
 
 def _all(name: str) -> dict:
