@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["split", "markup", "scans", "cutoff", "abuse", "names"]
+MODULES = ["split", "markup", "scans", "cutoff", "abuse", "names", "packing", "mixing"]
 
 
 def _all(name: str) -> dict:
