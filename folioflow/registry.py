@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["folioflow.plans.incremental_queries"]
+MODULES = ["folioflow.plans.incremental_queries", "folioflow.plans.structure_queries"]
 
 
 def queries() -> dict:
