@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["folioflow.plans.incremental_queries", "folioflow.plans.structure_queries"]
+MODULES = [f"folioflow.plans.{m}_queries" for m in ("incremental", "structure", "term")]
 
 
 def queries() -> dict:
