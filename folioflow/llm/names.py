@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.context import checkpoint, read
+from folioflow.operators.graph import components
 
 #: Given names with their short forms.
 NICKNAMES = {
@@ -317,23 +318,6 @@ def linked_pairs(entries: DataFrame) -> DataFrame:
     return scored
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of connected components: every node takes the least label of its neighbours
-    and then its label's label, until nothing changes; labels are checkpointed each round."""
-    both = checkpoint(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    label = checkpoint(nodes.select("node", F.col("node").alias("root")))
-    for _ in range(rounds):
-        least = both.join(label, both.v == label.node).groupBy("u").agg(F.min("root").alias("_m"))
-        step = label.join(least, label.node == least.u, "left").select("node", F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("root"))
-        up = label.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = checkpoint(step.join(up, step.root == up._n, "left").select("node", "_old", F.least("root", F.coalesce("_r", "root")).alias("root")))
-        changed = new.where("root <> _old").limit(1).count()
-        label = new.drop("_old")
-        if not changed:
-            break
-    return label
-
-
 def groups(glossary: DataFrame) -> DataFrame:
     """(term_key, doc_id, root): entries with the least key of the entity they mean."""
     all_ = checkpoint(keyed(glossary))

@@ -35,21 +35,3 @@ def test_groups(spark):
         got.setdefault(r.root, set()).add(r.term_key)
     assert sorted(map(sorted, got.values())) == [[1, 2, 3, 4, 12], [5], [6], [7], [10], [13, 14]]
     assert N.groups(g.limit(0)).count() == 0
-
-
-def test_components(spark):
-    import random
-
-    rnd = random.Random(2)
-    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
-    parent = list(range(500))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        parent[max(find(a), find(b))] = min(find(a), find(b))
-    out = N.components(spark.range(500).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "a long, b long"))
-    assert {r.node: r.root for r in out.collect()} == {i: find(i) for i in range(500)}
