@@ -118,3 +118,23 @@ def field_conflicts(meta: DataFrame, glossary: DataFrame) -> DataFrame:
     g = surface_index(glossary).select("doc_id", F.col("surface").alias("entity"), "target", "category")
     now = F.when(F.col("field") == "target", F.col("target")).when(F.col("field") == "category", F.col("category"))
     return c.join(g, ["doc_id", "entity"]).select("doc_id", "entity", "field", now.alias("current"), "proposed")
+
+
+def applied(decisions: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(doc_id, name, kind, ok, error): decisions (doc_id, kind, name, target, category, alias_of)
+    as they would be carried out: first names are created, then aliases are attached, also to
+    names created just now or attached before. A name that the book already has, that is decided
+    twice, or whose owner cannot be reached is an error, and a book with any error changes in
+    nothing: all its decisions are then not ok."""
+    have = surface_index(glossary).select("doc_id", F.col("surface").alias("node"))
+    made = decisions.where("kind = 'create'").select("doc_id", F.col("name").alias("node"))
+    start = have.union(made).distinct()
+    links = decisions.where("kind = 'alias'").select("doc_id", F.col("name").alias("node"), F.col("alias_of").alias("via"))
+    got = reachable(links, start, ["doc_id"]).withColumn("_got", F.lit(1))
+    twice = decisions.groupBy("doc_id", "name").agg(F.count("*").alias("_k"))
+    d = decisions.join(twice, ["doc_id", "name"]).join(have.select("doc_id", F.col("node").alias("name"), F.lit(1).alias("_have")).distinct(), ["doc_id", "name"], "left")
+    d = d.join(got.withColumnRenamed("node", "name"), ["doc_id", "name"], "left")
+    error = F.when(F.col("_have").isNotNull(), "exists").when(F.col("_k") > 1, "twice").when((F.col("kind") == "alias") & F.col("_got").isNull(), "unreached").otherwise("")
+    d = d.select("doc_id", "name", "kind", error.alias("error"))
+    bad = d.where("error <> ''").select("doc_id").distinct().withColumn("_bad", F.lit(1))
+    return d.join(bad, "doc_id", "left").select("doc_id", "name", "kind", F.col("_bad").isNull().alias("ok"), "error")

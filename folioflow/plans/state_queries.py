@@ -75,7 +75,8 @@ def untranslated_blocks(spark, d):
 
 
 def alias_leaks(spark, d):
-    t = tables.chunks(spark, d, "output").select("doc_id", "chunk_id", F.col("output").alias("text"))
+    """Dropped names in texts; aliases here are in the language of the sources."""
+    t = tables.chunks(spark, d, "source").select("doc_id", "chunk_id", F.col("source").alias("text"))
     return U.alias_leaks(t, read(spark, d, "glossary"))
 
 
@@ -136,7 +137,7 @@ select x.doc_id, x.chunk_id, coalesce({_S('right(p.source, 120)')}, '') as prev_
     "merged_order": f"with {C}, x as (select doc_id, chunk_id, ord, length({_S(chr(99) + 'oalesce(output, ' + chr(39) * 2 + ')')}) as n from c) select doc_id, chunk_id, ord, min(n) over (partition by doc_id) > 0 as ready, cast(coalesce(sum(n + 2) over (partition by doc_id order by ord, chunk_id rows between unbounded preceding and 1 preceding), 0) as bigint) as char_from from x",
     "untranslated_blocks": f"""with {_PAIRS}, x as (select doc_id, chunk_id, pos, o as t, length(o) as n_chars, length(regexp_replace(o, '[^\\x00-\\x7F]', '', 'g')) as n_ascii from pz)
 select doc_id, chunk_id, pos, n_chars, n_ascii from x where n_chars > 100 and n_ascii / n_chars > 0.85 and not (t like '$$%' or t like '\\[%' or regexp_matches(t, '^[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\s*\\d+(?:,\\d+)*') or regexp_matches(t, '(?i)^\\d*\\s*(?:Department|School|Cent(?:er|re)|Institute|University|Faculty|Laborat|Hospital)') or regexp_matches(t, '(?i)https?://|doi\\.org|doi:') or regexp_matches(t, '^[A-Z][^(\\n]+\\(\\d{{4}}\\)\\.'))""",
-    "alias_leaks": f"with {_OCC.replace('select doc_id, term_key, source as surface from glossary union all select doc_id, term_key, unnest(aliases) from glossary', 'select doc_id, term_key, ' + _S('a') + ' as surface from (select doc_id, term_key, target, unnest(aliases) as a from glossary where trim(target) <> ' + chr(39) * 2 + ') where ' + _S('a') + ' <> ' + _S('target')).replace('source', 'output')} select * from o",
+    "alias_leaks": f"with {_OCC.replace('select doc_id, term_key, source as surface from glossary union all select doc_id, term_key, unnest(aliases) from glossary', 'select doc_id, term_key, ' + _S('a') + ' as surface from (select doc_id, term_key, target, unnest(aliases) as a from glossary where trim(target) <> ' + chr(39) * 2 + ') where ' + _S('a') + ' <> ' + _S('target'))} select * from o",
     "reference_numbers": f"""with {B}, x as (select doc_id, ord, id, cast(nullif(regexp_extract(text, '^\\[?(\\d{{1,9}})(?:\\]|\\.)', 1), '') as int) as num from b where coalesce(is_reference, false)), y as (select *, lag(num) over (partition by doc_id order by ord, id) as pv from x where num is not null)
 select doc_id, count(*) as n, min(num) as lowest, max(num) as highest, max(num) - min(num) + 1 - count(distinct num) as n_gaps, count(*) - count(distinct num) as n_repeats, count(*) filter (where num < pv) as n_disorder from y group by 1""",
     "crowded_sections": f"with {B}, h as (select doc_id, coalesce(level, 1) as level, cast(sum(cast(coalesce(level, 1) = 1 as int)) over (partition by doc_id order by ord, id) as int) as section from b where kind = 'heading') select doc_id, section, count(*) as n_below from h where section > 0 and level > 1 group by 1, 2 having count(*) > 2",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.context import read
 from folioflow.operators import observations as O
 from folioflow.operators import terms as T
+from folioflow.operators.graph import reachable
 from folioflow.plans.structure_queries import B
 from folioflow.sources import tables
 
@@ -61,6 +62,22 @@ def alias_chain(spark, d):
     return O.alias_chain(read(spark, d, "meta_obs"), read(spark, d, "glossary"))
 
 
+def alias_reach(spark, d):
+    """Names that lead to a name of the glossary, over any number of hypotheses."""
+    m, g = read(spark, d, "meta_obs"), read(spark, d, "glossary")
+    links = O.alias_candidates(m).select("doc_id", F.col("variant").alias("node"), F.col("candidate").alias("via"))
+    return reachable(links, O.surface_index(g).select("doc_id", F.col("surface").alias("node")), ["doc_id"])
+
+
+def applied_decisions(spark, d):
+    """All proposals, with their greatest target, and all aliases, with their least owner."""
+    m, g = read(spark, d, "meta_obs"), read(spark, d, "glossary")
+    null = F.lit(None).cast("string")
+    create = O.proposals(m).groupBy("doc_id", F.lit("create").alias("kind"), F.col("source").alias("name")).agg(F.max("target").alias("target"), F.max("category").alias("category")).withColumn("alias_of", null)
+    alias = O.alias_candidates(m).groupBy("doc_id", F.lit("alias").alias("kind"), F.col("variant").alias("name")).agg(F.min("candidate").alias("alias_of")).select("doc_id", "kind", "name", null.alias("target"), null.alias("category"), "alias_of")
+    return O.applied(create.unionByName(alias), g)
+
+
 def evidence_refs(spark, d):
     return O.evidence(read(spark, d, "meta_obs"))
 
@@ -73,7 +90,7 @@ def field_conflicts(spark, d):
     return O.field_conflicts(read(spark, d, "meta_obs"), read(spark, d, "glossary"))
 
 
-QUERIES = {f.__name__: f for f in (term_frequency, terms_in_chunks, selected_terms, term_tables, candidate_terms, seed_terms, glossary_errors, term_hashes, meta_errors, merge_routing, alias_chain, evidence_refs, gender_fold, field_conflicts)}
+QUERIES = {f.__name__: f for f in (term_frequency, terms_in_chunks, selected_terms, term_tables, candidate_terms, seed_terms, glossary_errors, term_hashes, meta_errors, merge_routing, alias_chain, alias_reach, applied_decisions, evidence_refs, gender_fold, field_conflicts)}
 
 C = "c as (select * exclude (rn) from (select *, row_number() over (partition by doc_id, chunk_id order by revision desc, arrived_at desc) as rn from chunks) where rn = 1)"
 _CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
@@ -143,6 +160,13 @@ st as (select doc_id, name as node from rt where kind is not null and kind <> 'n
 fr as (select doc_id, variant as node, min(candidate) as via from al where not exists (select 1 from st where st.doc_id = al.doc_id and st.node = al.variant) group by 1, 2 having count(*) = 1),
 rc as (select fr.doc_id, fr.node from fr join st on st.doc_id = fr.doc_id and st.node = fr.via union select fr.doc_id, fr.node from fr join rc on rc.doc_id = fr.doc_id and rc.node = fr.via)
 select doc_id, node as variant from rc""",
+    "alias_reach": f"""with recursive {_R}, rc as (select al.doc_id, al.variant as node from al join ix on ix.doc_id = al.doc_id and ix.surface = al.candidate union select al.doc_id, al.variant from al join rc on rc.doc_id = al.doc_id and rc.node = al.candidate) select * from rc""",
+    "applied_decisions": f"""with recursive {_R}, de as (select distinct doc_id, 'create' as kind, name, null as via from pr union all select doc_id, 'alias', variant, min(candidate) from al group by 1, 3),
+st as (select doc_id, surface as node from ix union select doc_id, name from de where kind = 'create'),
+rc as (select de.doc_id, de.name as node from de join st on st.doc_id = de.doc_id and st.node = de.via where kind = 'alias' union select de.doc_id, de.name from de join rc on rc.doc_id = de.doc_id and rc.node = de.via where kind = 'alias'),
+x as (select de.doc_id, de.name, kind, case when ix.owner is not null then 'exists' when count(*) over (partition by de.doc_id, de.name) > 1 then 'twice' when kind = 'alias' and rc.node is null then 'unreached' else '' end as error
+  from de left join ix on ix.doc_id = de.doc_id and ix.surface = de.name left join rc on rc.doc_id = de.doc_id and rc.node = de.name)
+select doc_id, name, kind, max(error) over (partition by doc_id) = '' as ok, error from x""",
     "evidence_refs": f"""with {_M}, x as (select distinct doc_id, chunk_id, arrived_at, e.source as source from (select doc_id, chunk_id, arrived_at, unnest(new_entities) as e from m)),
 y as (select *, row_number() over (partition by doc_id, source order by arrived_at desc, chunk_id desc) as rn from x)
 select doc_id, source, string_agg(chunk_id, ',' order by rn desc) as refs, count(*) as n_refs, case when count(*) >= 3 then 'high' when count(*) = 2 then 'medium' else 'low' end as confidence from y where rn <= 5 group by 1, 2""",
