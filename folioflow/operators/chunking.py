@@ -36,7 +36,9 @@ def block_boundary_chunks(blocks: DataFrame, target: int = 12_000) -> DataFrame:
 
 def structural_chunks(rows: DataFrame, target: int = 6_000) -> DataFrame:
     """Adds ``chunk_no`` to (doc_id, ord, size, heading): a heading starts a chunk, a chunk that
-    would overflow is closed, and a row of over twice the target stands alone."""
+    would overflow is closed, and a row of over twice the target stands alone. A null size
+    counts as 0, a null heading as none."""
+    rows = rows.withColumn("size", F.coalesce("size", F.lit(0))).withColumn("heading", F.coalesce("heading", F.lit(False)))
 
     def step(state, r):
         no, full, used = state

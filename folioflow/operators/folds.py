@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, start: Callable, out: str, kind: str = "int") -> DataFrame:
     """Adds a column: ``state, value = step(state, row)`` over each key's ordered rows.
 
-    ``start()`` makes a key's first state."""
+    ``start()`` makes a key's first state. Nulls come as None."""
     columns = df.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -25,7 +25,8 @@ def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
         for frame in frames:
             values = []
             key_of = list(zip(*(frame[k] for k in keys))) if len(frame) else []
-            for key, row in zip(key_of, frame.itertuples(index=False)):
+            clean = frame.astype(object).where(frame.notna(), None)
+            for key, row in zip(key_of, clean.itertuples(index=False)):
                 if key != last:
                     last, state = key, start()
                 state, value = step(state, row)

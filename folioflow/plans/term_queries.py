@@ -161,7 +161,7 @@ fr as (select doc_id, variant as node, min(candidate) as via from al where not e
 rc as (select fr.doc_id, fr.node from fr join st on st.doc_id = fr.doc_id and st.node = fr.via union select fr.doc_id, fr.node from fr join rc on rc.doc_id = fr.doc_id and rc.node = fr.via)
 select doc_id, node as variant from rc""",
     "alias_reach": f"""with recursive {_R}, rc as (select al.doc_id, al.variant as node from al join ix on ix.doc_id = al.doc_id and ix.surface = al.candidate union select al.doc_id, al.variant from al join rc on rc.doc_id = al.doc_id and rc.node = al.candidate) select * from rc""",
-    "applied_decisions": f"""with recursive {_R}, de as (select distinct doc_id, 'create' as kind, name, null as via from pr union all select doc_id, 'alias', variant, min(candidate) from al group by 1, 3),
+    "applied_decisions": f"""with recursive {_R}, de as (select distinct doc_id, 'create' as kind, name, cast(null as varchar) as via from pr union all select doc_id, 'alias', variant, min(candidate) from al group by 1, 3),
 st as (select doc_id, surface as node from ix union select doc_id, name from de where kind = 'create'),
 rc as (select de.doc_id, de.name as node from de join st on st.doc_id = de.doc_id and st.node = de.via where kind = 'alias' union select de.doc_id, de.name from de join rc on rc.doc_id = de.doc_id and rc.node = de.via where kind = 'alias'),
 x as (select de.doc_id, de.name, kind, case when ix.owner is not null then 'exists' when count(*) over (partition by de.doc_id, de.name) > 1 then 'twice' when kind = 'alias' and rc.node is null then 'unreached' else '' end as error
