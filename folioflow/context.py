@@ -42,3 +42,11 @@ def salted(df: DataFrame, parts: int, *by: str) -> DataFrame:
 def replicated(df: DataFrame, parts: int) -> DataFrame:
     """The other side of a salted join: every row once per salt."""
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores: a table of one small file
+    would else be worked by one core, however much is to be done with each row. A table that
+    is read in enough partitions stays as it is and is not shuffled."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
