@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.context import read
+from folioflow.context import read, spread
 from folioflow.llm.abuse_seeds import phrases
 from folioflow.llm.cutoff import source_key
 
@@ -120,6 +120,11 @@ class Tagger:
         owner = np.repeat(at, [len(x[1]) for x in flat]) if flat else np.zeros(0, dtype=np.int64)
         return np.stack(f, axis=1).astype(np.int64), owner, parts, lengths
 
+    @staticmethod
+    def _small(enc):
+        f, owner, parts, lengths = enc
+        return f.astype(np.int32), owner.astype(np.int32), parts.astype(np.int32), lengths
+
     def emissions(self, enc) -> np.ndarray:
         f, owner, parts, _ = enc
         d = self.w[1] - self.w[0]
@@ -161,12 +166,13 @@ class Tagger:
         """AdaGrad on the conditional likelihood."""
         rnd = np.random.default_rng(seed)
         grad2, t2 = np.full((2, SIZE), 1e-4, dtype=np.float32), np.full((2, 2), 1e-2)
-        chunks = 256
+        # Batches are put together once and encoded once; only their order changes.
+        order = rnd.permutation(len(batch))
+        picks = [order[c : c + 256] for c in range(0, len(order), 256)]
+        encoded = [self._small(self.encode([batch[i] for i in pick])) for pick in picks]
         for _ in range(epochs):
-            order = rnd.permutation(len(batch))
-            for c in range(0, len(order), chunks):
-                pick = order[c : c + chunks]
-                enc = self.encode([batch[i] for i in pick])
+            for c in rnd.permutation(len(picks)):
+                pick, enc = picks[c], encoded[c]
                 f, owner, parts, lengths = enc
                 m, pair = self.marginals(enc)
                 y = np.concatenate([labels[i] for i in pick])
@@ -315,7 +321,7 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     tagger = train(*reviewed(documents, labels))
     weights, trans = tagger.w.astype(np.float32), tagger.trans
     tag = F.pandas_udf(_iterating(weights, trans), "score double, spans array<struct<start:int,end:int>>")
-    return documents.where("doc_id is not null").select("doc_id", "source", tag("text").alias("r")).select("doc_id", "source", "r.score", "r.spans")
+    return spread(documents.where("doc_id is not null").select("doc_id", "source", "text")).select("doc_id", "source", tag("text").alias("r")).select("doc_id", "source", "r.score", "r.spans")
 
 
 def _iterating(weights: np.ndarray, trans: np.ndarray):

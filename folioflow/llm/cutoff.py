@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.context import checkpoint, read
+from folioflow.context import checkpoint, read, spread
 
 PRIOR, THRESHOLD = 2.0, 0.02
 _FENCE = r"(?m)^[ \t]*(?:```|~~~)[^\n]*$"
@@ -88,6 +88,7 @@ def _going_on(grams: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame
 
 def scores(documents: DataFrame) -> DataFrame:
     """(doc_id, p_end): the share of its last trigram's occurrences that end, by back-off."""
+    documents = spread(documents.select("doc_id", "text"))
     tri = checkpoint(trigrams(documents))
     last = checkpoint(finals(documents))
     out = last.withColumn("kind", _kind(F.col("w3")))

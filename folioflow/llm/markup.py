@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.context import read
+from folioflow.context import read, spread
 from folioflow.llm.boost import BoostedTrees
 
 MAX_DEPTH = 12
@@ -461,7 +461,7 @@ def found(blocks: DataFrame) -> DataFrame:
     def udf(texts: pd.Series) -> pd.Series:
         return pd.Series([families(r) for part in _batches(texts) for r in labelled_all(part, trees)])
 
-    of = blocks.where(F.col("kind").isin(*PLAIN_KINDS)).where(F.col("text").rlike(SIGNS))
+    of = spread(blocks.where(F.col("kind").isin(*PLAIN_KINDS)).where(F.col("text").rlike(SIGNS)).select("doc_id", "id", "text"))
     return of.select("doc_id", "id", F.explode(udf("text")).alias("markup")).distinct()
 
 

@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.context import read
+from folioflow.context import read, spread
 from folioflow.llm.markup import PLAIN_KINDS
 
 #: Longer runs of letters and digits are no words.
 LONGEST = 30
-LEXICON, SAMPLE_LINES, SAMPLE_WORDS = 100_000, 20_000, 6_000
+LEXICON, SAMPLE_LINES, SAMPLE_WORDS = 100_000, 8_000, 6_000
 
 #: What recognition writes, and what was printed.
 CONFUSIONS = {
@@ -413,7 +413,7 @@ def train_lines(rows: list) -> Perceptron:
         f = ["number", "place=body", "where=mid", "kind=text", "edge=0", "same=False"] + [f"number&{x}" for x in ("place=body", "where=mid", "kind=text", "edge=0", "same=False")] + ["number&mid&sameFalse", "number&body&sameFalse"]
         examples.append(([("yes", f), ("no", [])], "no"))
     rnd.shuffle(examples)
-    return Perceptron().fit(examples, epochs=6)
+    return Perceptron().fit(examples, epochs=5)
 
 
 def furniture(blocks: DataFrame) -> DataFrame:
@@ -439,7 +439,7 @@ def furniture(blocks: DataFrame) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with the kinds of noise they bear."""
-    blocks = read(spark, sf_dir, "blocks")
+    blocks = spread(read(spark, sf_dir, "blocks").select("doc_id", "id", "kind", "text", "is_running_header", "source_refs"))
     editor = editor_of(blocks)
 
     @F.pandas_udf("array<string>")
@@ -450,7 +450,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append(["hyphen"] * hyphen + ["misread"] * misread)
         return pd.Series(out)
 
-    words = blocks.where(F.col("kind").isin(*PLAIN_KINDS)).where("text is not null").select("doc_id", "id", F.explode(noise("text")).alias("noise"))
+    plain = blocks.where(F.col("kind").isin(*PLAIN_KINDS)).where("text is not null")
+    words = plain.select("doc_id", "id", F.explode(noise("text")).alias("noise"))
     lines = furniture(blocks)
     marks = F.array_compact(F.array(F.when(F.col("header"), F.lit("header")), F.when(F.col("page_number"), F.lit("page_number"))))
     return words.unionByName(lines.select("doc_id", "id", F.explode(marks).alias("noise"))).where("doc_id is not null and id is not null").distinct()

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.context import spread
+
 #: Where the vocabulary is, unless a caller names another file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's texts are cut into words.
@@ -32,4 +34,4 @@ def sized(documents: DataFrame, *keep: str, path: str = VOCABULARY) -> DataFrame
         e = encoding(path)
         return pd.Series([len(e.encode_ordinary(t)) for t in texts])
 
-    return documents.where("text is not null and doc_id is not null").select(*keep, count("text").alias("n_tokens"))
+    return spread(documents.where("text is not null and doc_id is not null").select(*keep, "text")).select(*keep, count("text").alias("n_tokens"))
