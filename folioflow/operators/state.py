@@ -89,3 +89,31 @@ def source_cache(found: DataFrame, cached: DataFrame) -> DataFrame:
     c = cached.select("key", F.lit(True).alias("_c"), F.col("checksum").alias("_h"), F.col("size").alias("_n"))
     verdict = F.when(F.col("_c").isNull(), "new").when(F.col("_h").isNull() | F.col("_n").isNull(), "adopt").when((F.col("checksum") == F.col("_h")) & (F.col("size") == F.col("_n")), "reuse").otherwise("mismatch")
     return found.join(c, "key", "left").select("key", verdict.alias("verdict"))
+
+
+#: What shows that a chunk holds more than references.
+MORE_THAN_REFERENCES = ("acknowledg", "致谢", "利益冲突", "competing interest", "conflict of interest", "author contribution", "作者贡献", "author information", "作者信息", "affiliations", "supplementary information", "补充信息", "department of", "university", "institute of", "hospital")
+
+
+def reference_chunks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, n_blocks): chunks that need no translation, as all their blocks are
+    references and nothing in their text speaks of end matter."""
+    t = F.col("text")
+    ref = F.coalesce("is_reference", F.lit(False)) | ((F.col("kind") == "heading") & F.coalesce(F.lower(t).rlike("references|参考文献|bibliography"), F.lit(False)))
+    b = blocks.select("doc_id", "id", ref.alias("ref"))
+    ids = chunks.select("doc_id", "chunk_id", F.explode(F.regexp_extract_all("source", F.lit(r"(?m)^<!--\s*tb:(b\d+)\s*-->"), F.lit(1))).alias("id")).distinct()
+    pure = ids.join(b, ["doc_id", "id"], "left").groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n_blocks"), F.min(F.coalesce("ref", F.lit(False))).alias("pure")).where("pure")
+    more = F.lower("source").rlike("|".join(MORE_THAN_REFERENCES))
+    return pure.join(chunks.where(~more).select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "chunk_id", "n_blocks")
+
+
+def term_drift(chunks: DataFrame, glossary: DataFrame, state: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, n_now, n_then, n_added, n_dropped) of recorded chunks: the names of
+    the terms that occur in the source now, and those that were used at the last run."""
+    from folioflow.operators.terms import occurrences
+
+    texts = chunks.select("doc_id", "chunk_id", F.col("source").alias("text")).join(state.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi")
+    now = occurrences(texts, glossary).join(glossary.select("term_key", F.col("source").alias("name")), "term_key").select("doc_id", "chunk_id", "name").distinct().withColumn("_n", F.lit(1))
+    then = state.select("doc_id", "chunk_id", F.explode("entity_ids_used").alias("name")).distinct().withColumn("_t", F.lit(1))
+    j = now.join(then, ["doc_id", "chunk_id", "name"], "full_outer")
+    return j.groupBy("doc_id", "chunk_id").agg(F.count("_n").alias("n_now"), F.count("_t").alias("n_then"), F.count_if(F.col("_t").isNull()).alias("n_added"), F.count_if(F.col("_n").isNull()).alias("n_dropped"))

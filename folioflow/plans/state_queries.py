@@ -88,13 +88,23 @@ def crowded_sections(spark, d):
     return U.crowded_sections(tables.blocks(spark, d, "ord", "kind", "level"), 2)
 
 
+def reference_chunks(spark, d):
+    """Chunks of references only; blocks that begin like one count as references."""
+    b = tables.blocks(spark, d, "kind", "text", "is_reference").withColumn("is_reference", F.coalesce("is_reference", F.lit(False)) | ~F.col("kind").isin("text", "footnote"))
+    return S.reference_chunks(tables.chunks(spark, d, "source"), b)
+
+
+def term_drift(spark, d):
+    return S.term_drift(tables.chunks(spark, d, "source"), read(spark, d, "glossary"), tables.run_state(spark, d, "entity_ids_used"))
+
+
 def audit_status(spark, d):
     """Each book's worst finding of the merge gate."""
     g = merge_gate(spark, d)
     return U.status(g.select("doc_id", F.when(F.col("error") != "", "error").otherwise("warning").alias("severity")), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (chunk_actions, action_summary, merge_gate, manifest_errors, block_coverage, source_cache, block_pairs, translation_errors, image_diff, neighbor_context, merged_order, bilingual_text, untranslated_blocks, alias_leaks, reference_numbers, crowded_sections, audit_status)}
+QUERIES = {f.__name__: f for f in (chunk_actions, action_summary, merge_gate, manifest_errors, block_coverage, source_cache, block_pairs, translation_errors, image_diff, neighbor_context, merged_order, bilingual_text, untranslated_blocks, alias_leaks, reference_numbers, crowded_sections, reference_chunks, term_drift, audit_status)}
 
 _HASH = lambda x: f"regexp_replace(lower(trim({x})), '^(sha-?256\\s*[:=-]?|0x)\\s*', '')"
 MF = "mf as (select * exclude (rn) from (select *, row_number() over (partition by doc_id order by revision desc, created_at desc) as rn from manifest) where rn = 1)"
@@ -140,5 +150,11 @@ select doc_id, chunk_id, pos, n_chars, n_ascii from x where n_chars > 100 and n_
     "alias_leaks": f"with {_OCC.replace('select doc_id, term_key, source as surface from glossary union all select doc_id, term_key, unnest(aliases) from glossary', 'select doc_id, term_key, ' + _S('a') + ' as surface from (select doc_id, term_key, target, unnest(aliases) as a from glossary where trim(target) <> ' + chr(39) * 2 + ') where ' + _S('a') + ' <> ' + _S('target'))} select * from o",
     "reference_numbers": f"""with {B}, x as (select doc_id, ord, id, cast(nullif(regexp_extract(text, '^\\[?(\\d{{1,9}})(?:\\]|\\.)', 1), '') as int) as num from b where coalesce(is_reference, false)), y as (select *, lag(num) over (partition by doc_id order by ord, id) as pv from x where num is not null)
 select doc_id, count(*) as n, min(num) as lowest, max(num) as highest, max(num) - min(num) + 1 - count(distinct num) as n_gaps, count(*) - count(distinct num) as n_repeats, count(*) filter (where num < pv) as n_disorder from y group by 1""",
+    "reference_chunks": f"""with {B}, {C}, r as (select doc_id, id, coalesce(is_reference, false) or kind not in ('text', 'footnote') or (kind = 'heading' and coalesce(regexp_matches(lower(text), 'references|参考文献|bibliography'), false)) as ref from b),
+i as (select distinct doc_id, chunk_id, unnest(regexp_extract_all(source, '(?m)^<!--\\s*tb:(b[0-9]+)\\s*-->', 1)) as id from c), p as (select i.doc_id, i.chunk_id, count(*) as n_blocks from i left join r using (doc_id, id) group by 1, 2 having min(coalesce(r.ref, false)))
+select p.* from p join c using (doc_id, chunk_id) where not regexp_matches(lower(c.source), '{'|'.join(S.MORE_THAN_REFERENCES)}')""",
+    "term_drift": f"""with {_OCC}, {_RS.replace("select doc_id, chunk_id, ", "select doc_id, chunk_id, entity_ids_used, ", 1)}, n as (select distinct o.doc_id, o.chunk_id, g.source as name, 1 as n from o join glossary g using (term_key) join rs on rs.doc_id = o.doc_id and rs.chunk_id = o.chunk_id),
+t as (select distinct doc_id, chunk_id, unnest(entity_ids_used) as name, 1 as t from rs)
+select doc_id, chunk_id, count(n) as n_now, count(t) as n_then, count(*) filter (where t is null) as n_added, count(*) filter (where n is null) as n_dropped from n full outer join t using (doc_id, chunk_id, name) group by 1, 2""",
     "crowded_sections": f"with {B}, h as (select doc_id, coalesce(level, 1) as level, cast(sum(cast(coalesce(level, 1) = 1 as int)) over (partition by doc_id order by ord, id) as int) as section from b where kind = 'heading') select doc_id, section, count(*) as n_below from h where section > 0 and level > 1 group by 1, 2 having count(*) > 2",
 }
