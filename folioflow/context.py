@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once a context: their Python may not find it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_folioflow_shipped", False):
+        sc._folioflow_shipped = True
+        home = os.path.dirname(os.path.abspath(__file__))
+        to = os.path.join(tempfile.mkdtemp(prefix="folioflow-"), "folioflow_shipped.zip")
+        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(home):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(home)))
+        sc.addPyFile(to)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table as a DataFrame."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
