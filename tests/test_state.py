@@ -78,3 +78,13 @@ def test_audits(spark):
     t = spark.createDataFrame([(1, "plain english words " * 10), (2, "译文" * 80), (3, "see https://a.b " + "x" * 100), (4, None), (5, "short")], "k int, text string")
     assert [r.k for r in U.untranslated(t, ["k"]).collect()] == [1]
     assert S.source_cache(spark.createDataFrame([("a", "1", 1), ("b", "1", 1), ("c", "1", 1), ("e", "1", 1)], "key string, checksum string, size int"), spark.createDataFrame([("a", "1", 1), ("b", "2", 1), ("c", None, 1)], "key string, checksum string, size int")).orderBy("key").select("verdict").collect() == [("reuse",), ("mismatch",), ("adopt",), ("new",)]
+
+
+def test_reference_chunks_and_drift(spark):
+    c = _chunks(spark, ("<!-- tb:b000001 -->\n[1] A\n<!-- tb:b000002 -->\n[2] Tai", "x"), ("<!-- tb:b000001 -->\n[1] A\n<!-- tb:b000003 -->\nprose", "x"), ("<!-- tb:b000001 -->\nUniversity of A", "x"), ("no markers", "x"))
+    b = spark.createDataFrame([("d", "b000001", "text", "[1] A", True), ("d", "b000002", "heading", "References", None), ("d", "b000003", "text", "prose", None)], "doc_id string, id string, kind string, text string, is_reference boolean")
+    assert [(r.chunk_id, r.n_blocks) for r in S.reference_chunks(c, b).collect()] == [("chunk0001", 2)]
+    g = spark.createDataFrame([(1, "d", "Tai", []), (2, "d", "prose", None)], "term_key long, doc_id string, source string, aliases array<string>")
+    st = spark.createDataFrame([("d", "chunk0001", ["Gone"]), ("d", "chunk0002", ["prose"]), ("d", "chunk0003", None)], "doc_id string, chunk_id string, entity_ids_used array<string>")
+    got = {r.chunk_id: (r.n_now, r.n_then, r.n_added, r.n_dropped) for r in S.term_drift(c, g, st).collect()}
+    assert got == {"chunk0001": (1, 1, 1, 1), "chunk0002": (1, 1, 0, 0)}
