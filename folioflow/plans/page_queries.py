@@ -72,7 +72,7 @@ def structural_blocks(spark, d):
 
 
 def blank_line_parts(spark, d):
-    return M.part_rows(read(spark, d, "documents").where("text not like '%```%' and text not like '%~~~%'"), ["doc_id"]).select("doc_id", "pos", F.length("part").alias("n_chars"))
+    return M.part_rows(read(spark, d, "documents"), ["doc_id"]).select("doc_id", "pos", F.length("part").alias("n_chars"))
 
 
 def rendered_html(spark, d):

@@ -6,6 +6,7 @@ from folioflow.operators import geometry as G
 from folioflow.operators import html_audit as A
 from folioflow.operators import markdown as M
 from folioflow.operators import render as R
+from folioflow.plans import page_queries
 from folioflow.sources import tables
 from folioflow.streaming import merge as S
 
@@ -34,6 +35,31 @@ def test_blocks():
     assert M.blank_line_blocks("a\nb\n\n~~~\nx\n\ny\n~~~\nc") == ["a\nb", "~~~\nx\n\ny\n~~~", "c"] and M.blank_line_blocks("") == []
 
 
+def _parts(text):
+    """Blocks between blank lines by looking ahead for each fence's end."""
+    lines, parts, i = text.replace("\r\n", "\n").split("\n"), [[]], 0
+    while i < len(lines):
+        sign = next((c for c in "`~" if lines[i].strip().startswith(c * 3)), None)
+        if sign:
+            k = len(lines[i].strip()) - len(lines[i].strip().lstrip(sign))
+            ends = [j for j in range(i + 1, len(lines)) if len(lines[j].strip()) >= k and set(lines[j].strip()) == {sign}]
+            end = ends[0] + 1 if ends else len(lines)
+            parts += [lines[i:end], []]
+            i = end
+            continue
+        parts[-1:] = [parts[-1] + [lines[i]]] if lines[i].strip() else [parts[-1], []]
+        i += 1
+    return [x for p in parts if (x := "\n".join(p).strip())]
+
+
+def test_fenced_documents(spark, tmp_path):
+    texts = ["a\n\nb", "a\nb\n\n```py\nx\n\ny\n```\nc\n\nd", "~~~\nx\n\n```\n\ny\n~~~~\nc", "a\n\n````\nx\n\n```\n\ny\n````", "a\n\n```\nnever\n\nclosed", "inline ``` stays\n\nb ~~~ c", "a\r\n\r\n```\r\nx\r\n\r\ny\r\n```", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.pos, r.n_chars) for r in page_queries.blank_line_parts(spark, str(tmp_path)).collect())
+    assert got == [(i, k, len(x)) for i, t in enumerate(texts) for k, x in enumerate(_parts(t or ""))]
+    assert [sum(r[0] == i for r in got) for i in range(7)] == [2, 4, 2, 2, 2, 2, 2]
+
+
 def test_html():
     assert M.to_html("# A *b*\n\nx **y** $a_1*b*$\n\n- p\n- q\n\n---\n\n<script>z</script>") == '<h1>A <em>b</em></h1>\n<p>x <strong>y</strong> $a_1*b*$</p>\n<ul><li>p</li><li>q</li></ul>\n<div class="page-separator"></div>\n<p>&lt;script>z&lt;/script></p>'
     assert M.to_html(None) is None and M.to_html("") == ""
