@@ -22,19 +22,42 @@ def manifest_chunks(manifests: DataFrame) -> DataFrame:
     return c.select("doc_id", F.col("c.id").alias("chunk_id"), F.col("c.ord").alias("m_ord"), F.col("c.source_hash").alias("m_source_hash"), F.col("c.output_file").alias("output_file"), F.col("c.block_ids").alias("block_ids"))
 
 
-def plan(chunks: DataFrame, manifests: DataFrame, state: DataFrame, untracked: str = "record") -> DataFrame:
+def plan(chunks: DataFrame, manifests: DataFrame, state: DataFrame, untracked: str = "record", glossary: DataFrame | None = None, contract: str | None = None, verified: bool = False, on_drift: bool = False, name: str = "source") -> DataFrame:
     """(doc_id, chunk_id, action, reason): the first rule that applies decides. An output that
-    is missing, empty or blank, a source that is no longer what was cut or what was recorded
-    means translate; an output that was never recorded, or was edited since, means record."""
+    is missing, empty or blank, a source that is no longer what was cut or what was recorded, a
+    contract other than the recorded one, a term of another hash mean translate; an output that
+    was never recorded, or was edited since, means record, or translate if records must be ``verified``.
+
+    With a glossary, terms that occur in a chunk and are not in ``entity_ids_used`` (which has
+    the glossary's ``name``) mean translate ``on_drift``, else they are only given as a reason,
+    before that of an edited output. Hashes are compared if the state has ``entity_hashes_used``
+    (a map by name); provenance ``bypassed_reference`` needs no terms."""
+    from folioflow.operators.terms import relevant_hashes
+
     c = chunks.select("doc_id", "chunk_id", digest(F.col("source")).alias("_s"), digest(F.col("output")).alias("_o"), F.col("output").isNull().alias("_none"), (F.col("output") == "").alias("_empty"), F.col("output").rlike(r"^[\s\p{Z}]*$").alias("_blank"))
     m = manifest_chunks(manifests).groupBy("doc_id", "chunk_id").agg(F.max(parsed_digest(F.col("m_source_hash"))).alias("_m"))
-    s = state.select("doc_id", "chunk_id", F.lit(True).alias("_known"), parsed_digest(F.col("source_hash")).alias("_rs"), parsed_digest(F.col("output_hash")).alias("_ro"))
+    has = lambda x, kind: F.col(x) if x in state.columns else F.lit(None).cast(kind)
+    s = state.select("doc_id", "chunk_id", F.lit(True).alias("_known"), parsed_digest(F.col("source_hash")).alias("_rs"), parsed_digest(F.col("output_hash")).alias("_ro"), parsed_digest(has("contract_hash", "string")).alias("_rc"), has("provenance", "string").alias("_from"), F.coalesce(has("entity_ids_used", "array<string>"), F.array().cast("array<string>")).alias("_ids"), has("entity_hashes_used", "map<string,string>").alias("_hashes"))
     j = c.join(m, ["doc_id", "chunk_id"], "left").join(s, ["doc_id", "chunk_id"], "left")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    if glossary is None:
+        j = j.withColumn("_terms", none)
+    else:
+        texts = chunks.select("doc_id", "chunk_id", F.col("source").alias("text")).join(state.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi")
+        j = j.join(relevant_hashes(texts, glossary, name).withColumnRenamed("terms", "_terms"), ["doc_id", "chunk_id"], "left").withColumn("_terms", F.coalesce("_terms", none))
+    bypassed = F.coalesce(F.col("_from") == "bypassed_reference", F.lit(False))
+    drift = ~bypassed & (F.size(F.array_except(F.map_keys("_terms"), F.col("_ids"))) > 0)
+    rehashed = F.lit("entity_hashes_used" in state.columns) & ~bypassed & ~drift & F.exists(F.map_entries("_terms"), lambda e: ~e["value"].eqNullSafe(F.try_element_at(F.col("_hashes"), e["key"])))
+    edited = ~F.col("_ro").eqNullSafe(F.col("_o"))
     reason = first_of(
         (F.col("_none"), "missing_output"), (F.col("_empty"), "empty_output"), (F.col("_blank"), "blank_output"), (F.col("_m") != F.col("_s"), "manifest_source_hash_changed"),
-        (F.col("_known").isNull(), "untracked_existing_output"), (~F.col("_rs").eqNullSafe(F.col("_s")), "source_hash_changed_since_record"), (~F.col("_ro").eqNullSafe(F.col("_o")), "output_hash_changed_since_record"),
+        (F.col("_known").isNull(), "untracked_existing_output"), (F.lit(verified) & ~F.coalesce(F.col("_from").isin("verified_dispatch", "bypassed_reference"), F.lit(False)), "legacy_unverified"),
+        (F.lit(contract is not None) & ~F.col("_rc").eqNullSafe(parsed_digest(F.lit(contract).cast("string"))), "translation_contract_changed"), (~F.col("_rs").eqNullSafe(F.col("_s")), "source_hash_changed_since_record"),
+        (F.lit(on_drift) & drift, "glossary_term_selection_changed"), (rehashed, "glossary_term_hash_changed"),
+        (drift & edited, "glossary_term_selection_changed_ignored,output_hash_changed_since_record"), (drift, "glossary_term_selection_changed_ignored"), (edited, "output_hash_changed_since_record"),
     )
-    action = F.when(F.col("reason").isNull(), "unchanged").when(F.col("reason") == "untracked_existing_output", untracked).when(F.col("reason") == "output_hash_changed_since_record", "record").otherwise("translate")
+    record = "translate" if verified else "record"
+    action = F.when(F.col("reason").isNull() | (F.col("reason") == "glossary_term_selection_changed_ignored"), "unchanged").when(F.col("reason") == "untracked_existing_output", "translate" if verified else untracked).when(F.col("reason").endswith("output_hash_changed_since_record"), record).otherwise("translate")
     return j.withColumn("reason", reason).select("doc_id", "chunk_id", action.alias("action"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 

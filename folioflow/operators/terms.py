@@ -149,3 +149,14 @@ def term_hash(source: Column, target: Column, category: Column, aliases: Column,
         F.when(F.coalesce(gender, F.lit("unknown")) != "unknown", F.concat(F.lit("|gender="), gender)).otherwise(""), F.when(F.coalesce(conflict, F.lit(False)), F.lit("|gender_conflict=true")).otherwise(""),
     )
     return F.sha2(payload, 256)
+
+
+def relevant_hashes(texts: DataFrame, glossary: DataFrame, name: str = "source", most: int = 50) -> DataFrame:
+    """(doc_id, chunk_id, terms): of each text that has any, its selected terms that occur in it
+    as a map of names to term hashes, of equal names the last; ``name`` is the glossary's column of names."""
+    g = glossary.where("term_key is not null and doc_id is not null and source is not null and source <> ''")
+    of = g.select("term_key", F.coalesce(name, "source").alias("_name"), F.coalesce("frequency", F.lit(0)).alias("_f"), "source", term_hash(*(F.col(c) for c in ("source", "target", "category", "aliases", "gender", "gender_conflict"))).alias("_hash"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy(F.col("_f").desc(), "source", "term_key"))
+    local = occurrences(texts, g).join(of, "term_key").withColumn("_r", rank).where(F.col("_r") <= max(0, most))
+    one = local.groupBy("doc_id", "chunk_id", "_name").agg(F.max_by("_hash", "term_key").alias("_hash"))
+    return one.groupBy("doc_id", "chunk_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_name", "_hash")))).alias("terms"))

@@ -18,7 +18,8 @@ def _manifests(spark, d):
 
 
 def chunk_actions(spark, d):
-    return S.plan(tables.chunks(spark, d), _manifests(spark, d), tables.run_state(spark, d, "source_hash", "output_hash"))
+    state = tables.run_state(spark, d, "source_hash", "output_hash", "entity_ids_used", "provenance")
+    return S.plan(tables.chunks(spark, d), _manifests(spark, d), state, glossary=read(spark, d, "glossary"))
 
 
 def action_summary(spark, d):

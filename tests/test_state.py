@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folioflow.operators import align as L
 from folioflow.operators import audit as U
 from folioflow.operators import state as S
+from folioflow.operators import terms as T
 
 h = lambda t: hashlib.sha256(t.encode()).hexdigest()
 C = "doc_id string, chunk_id string, ord int, source string, output string"
@@ -31,6 +32,27 @@ def test_plan(spark):
     assert S.plan(c.limit(0), m, st).count() == 0
 
 
+def test_plan_terms(spark):
+    text = "Ann met Tai."
+    c = _chunks(spark, *[(text, "x")] * 6, ("none", "x"))
+    m = _manifest(spark, *[h(text)] * 6, h("none"))
+    g = spark.createDataFrame([(1, "d", "i1", "Ann", "安", "person", ["Annie"], None, None, 3), (2, "d", "i2", "Tom", "汤", "person", None, None, None, 9), (3, "d", "i3", "Thailand", "泰", None, ["Tai"], "female", True, 5)], "term_key long, doc_id string, id string, source string, target string, category string, aliases array<string>, gender string, gender_conflict boolean, frequency long")
+    now = {"Ann": h('Ann→安|person|aliases=["Annie"]'), "Thailand": h('Thailand→泰||aliases=["Tai"]|gender=female|gender_conflict=true')}
+    got = T.relevant_hashes(c.select("doc_id", "chunk_id", F.col("source").alias("text")), g).collect()
+    assert len(got) == 6 and all(r.terms == now for r in got)
+    assert list(T.relevant_hashes(c.select("doc_id", "chunk_id", F.col("source").alias("text")), g, "id", 1).first().terms) == ["i3"]
+    both, ST = list(now), "doc_id string, chunk_id string, source_hash string, output_hash string, contract_hash string, provenance string, entity_ids_used array<string>, entity_hashes_used map<string,string>"
+    rows = [("x", "dispatched", both, now), ("x", "dispatched", ["Ann", "Gone"], now), ("y", "dispatched", None, None), ("x", "dispatched", both, now | {"Ann": "old"}), ("y", "verified_dispatch", both, now | {"Ann": "old"}), ("x", "bypassed_reference", [], None)]
+    st = spark.createDataFrame([("d", f"chunk{i:04d}", h(text), h(o), h("k"), p, e, t) for i, (o, p, e, t) in enumerate(rows, 1)] + [("d", "chunk0007", h("none"), h("x"), h("k"), "dispatched", ["Gone"], {})], ST)
+    plan = lambda s=st, **k: [(r.action, r.reason) for r in S.plan(c, m, s, glossary=g, **k).orderBy("chunk_id").collect()]
+    same, ignored, hashed = ("unchanged", ""), "glossary_term_selection_changed_ignored", ("translate", "glossary_term_hash_changed")
+    assert plan() == [same, ("unchanged", ignored), ("record", ignored + ",output_hash_changed_since_record"), hashed, hashed, same, same]
+    assert plan(on_drift=True) == [same, *[("translate", "glossary_term_selection_changed")] * 2, hashed, hashed, same, same]
+    assert plan(st.drop("entity_hashes_used"))[3:5] == [same, ("record", "output_hash_changed_since_record")]
+    assert plan(contract="sha256:" + h("k")) == plan() and plan(contract=h("other")) == [("translate", "translation_contract_changed")] * 7
+    assert [x for x, _ in plan(verified=True)] == ["translate"] * 5 + ["unchanged", "translate"]
+
+
 def test_gate(spark):
     c = _chunks(spark, ("a" * 100, "b"), ("a", "b"), ("a", None), ("a", ""), ("a", " "))
     got = {r.chunk_id: (r.error, r.warning) for r in S.merge_gate(c, _manifest(spark, h("a" * 100), h("z"), h("a"), h("a"), h("a"), h("q"), ids=["chunk0001", "chunk0002", "chunk0003", "chunk0004", "chunk0009", "chunk0006"])).collect()}
