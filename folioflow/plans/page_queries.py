@@ -62,7 +62,8 @@ def page_number_lines(spark, d):
 
 
 def cleaned_exports(spark, d):
-    b = tables.blocks(spark, d, "kind", "text").where("kind = 'text' and text rlike '(?m)calibre|^:::|^\\\\s*[0-9]+\\\\s*$'")
+    """Blocks of any kind with residue of a converter or lines of digits, cleaned."""
+    b = tables.blocks(spark, d, "text").where("text rlike '(?m)calibre|^:::|^\\\\s*[0-9]+\\\\s*$'")
     return b.select("doc_id", "id", M.cleaned(F.col("text")).alias("text"))
 
 

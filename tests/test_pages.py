@@ -27,6 +27,13 @@ def test_clean_export():
     assert M.clean_export(t) == "A \n**Bold**\n1999\nend\n\n" and "1999" not in M.clean_export(t, True) and M.clean_export(None) is None
 
 
+def test_cleaned_kinds(spark, tmp_path):
+    t = "A {.calibre3}\n::: box\n12\nend"
+    rows = [("d", f"b{i}", k, t, i) for i, k in enumerate(("text", "heading", "footnote", "caption", None))] + [("d", "x", "heading", "Plain", 9), ("d", "y", "heading", None, 9)]
+    spark.createDataFrame(rows, "doc_id string, id string, kind string, text string, ingested_at long").write.parquet(f"{tmp_path}/blocks.parquet")
+    assert sorted((r.id, r.text) for r in page_queries.cleaned_exports(spark, str(tmp_path)).collect()) == [(f"b{i}", "A \nend") for i in range(5)]
+
+
 def test_blocks():
     t = "# T\n\nPara one\nmore\n> q\nlazy\n- a\n\n  b\n1. c\n| x |\n| y |\n![i](p)\n```py\n# no\n\n```\nend"
     got = M.structural_blocks(t)
