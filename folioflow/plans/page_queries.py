@@ -54,11 +54,8 @@ def nearest_level(spark, d):
 
 
 def page_number_lines(spark, d):
-    """Lines of digits in a rising sequence, over stretches of 256 blocks of a book as lines."""
-    b = tables.blocks(spark, d, "ord", "text").where("text is not null").withColumn("stretch", F.floor(F.col("ord") / 256))
-    b = b.withColumn("line", F.regexp_replace(F.regexp_replace("text", r"^(?:Page |\[|— )(\d+)(?:\]| —)?$", "$1"), "\n", " "))
-    t = b.groupBy("doc_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "line"))).alias("l"))
-    return t.select("doc_id", "stretch", F.explode(M.page_lines(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))).alias("line_no"))
+    """Lines of digits in a rising sequence, over all lines of a book."""
+    return M.book_page_lines(tables.blocks(spark, d, "ord", "text"))
 
 
 def cleaned_exports(spark, d):

@@ -22,6 +22,15 @@ def test_page_numbers():
         assert len(M.page_number_lines([str(x) for x in v])) == (best if best >= 4 else 0)
 
 
+def test_page_numbers_of_books(spark, tmp_path):
+    far = [("a", f"b{i}", i * 300, t) for i, t in enumerate(("1", "x\n2\ny", "Page 3", "[4]", None, "1984\nz"))]  # one or no number in any 256 blocks
+    falls = [("b", f"b{i}", i * 300 + k, str(n)) for i in range(3) for k, n in enumerate((100 - 10 * i, 101 - 10 * i, 102 - 10 * i, 103 - 10 * i))]  # falls from one stretch to the next
+    rows = [(*r, i) for i, r in enumerate([*far, *falls, ("c", "b0", 0, "7"), ("d", "b0", 0, None)])]
+    spark.createDataFrame(rows, "doc_id string, id string, ord int, text string, ingested_at long").write.parquet(f"{tmp_path}/blocks.parquet")
+    got = sorted((r.doc_id, r.line_no, r.id, r.line) for r in page_queries.page_number_lines(spark, str(tmp_path)).collect())
+    assert got == [("a", 0, "b0", 0), ("a", 2, "b1", 1), ("a", 4, "b2", 0), ("a", 5, "b3", 0), ("a", 6, "b5", 0)]
+
+
 def test_clean_export():
     t = "A {.calibre3}\n::: box\n12\n[**Bold**](#calibre_link-4)\n1999\nend {#calibre_link-1 .calibre2}\n\n\n\nx.ct}"
     assert M.clean_export(t) == "A \n**Bold**\n1999\nend\n\n" and "1999" not in M.clean_export(t, True) and M.clean_export(None) is None
