@@ -10,7 +10,8 @@ Texts are spread over groups by hash, each of about GROUP_CONTAINERS containers'
 least GROUP_TEXTS texts, which bounds what one task holds; a group wastes at most its last
 container. Only a text that alone exceeds the capacity is divided, into full containers and a
 rest that is packed like a text. Search stops at NODES containers tried a group, which leaves
-the incumbent. Between two texts of a container stand its separator tokens.
+the incumbent; the fillings around one largest text stop at FILLINGS found or 400 texts tried,
+so that a better one may be passed over. Between two texts of a container stand its separator tokens.
 
 Null texts are not assigned; empty texts have 0 tokens and are. A capacity that is null or not
 positive has no containers.
