@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import scans as S
 
@@ -70,3 +71,39 @@ def test_furniture_and_paragraphs(spark):
     assert p[("x", 4)].n_blocks == 2 and p[("x", 4)].text == "Nothing was counted in the garden and the ledger was left within the office."
     assert p[("x", 900)].text == "The river by the station." and ("x", 1) not in p
     assert S.furniture(b.limit(0)).count() == 0
+
+
+def test_wild_boxes_and_page_sizes_change_little(spark):
+    b = _blocks(spark).drop("title")
+    want = {(r.doc_id, r.id) for r in S.furniture(b).collect()}
+    wild = b.withColumn("source_refs", F.expr("case when id = 'b4' then array(named_struct('page', 1, 'bbox', array(60d, 300d, 500d, double('NaN')))) when id = 'b10' then array(named_struct('page', 2, 'bbox', array(60d, 300d, 500d, 9000d))) else source_refs end"))
+    assert {(r.doc_id, r.id) for r in S.furniture(wild).collect()} == want
+    sizes = b.withColumn("source_refs", F.expr("transform(source_refs, r -> named_struct('page', r.page, 'bbox', transform(r.bbox, (v, i) -> if(i % 2 = 1 and doc_id = 'y', v * 0.7, v))))"))
+    assert {(r.doc_id, r.id) for r in S.furniture(sizes).collect()} == want
+
+
+def test_letters_lost_and_added(editor):
+    assert editor.edit("temperture") == "temperature" and editor.edit("nevverything") != "everything"
+    assert editor.edit("windows") == "windows" and editor.edit("c") == "c"
+    code = "12d306b1da2aa0bc7b3d4b06d9355aa7"
+    assert editor.edit(code) == code
+
+
+def test_rare_words_have_evidence():
+    # no lexicon is cut: a word far below the frequent ones speaks against a misreading, but not against a word
+    assert S.own_count(1, {"lorisham": 40}, "lorisharn", 10**9) == {"lorisham": 40 * 1e-4 if 40 * 1e-4 > 1 else 1.0}
+    assert S.own_count(10, {"lorisham": 40}, "lorisharn", 10**9) == {}
+    # of two neighbours the misreading of the other is none
+    assert set(S.own_count(1, {"which": 4000, "vvhich": 15}, "wbich", 10**5)) == {"which"}
+
+
+def test_hard_rows_do_not_crash(spark):
+    schema = "doc_id string, ord int, id string, kind string, text string, is_running_header boolean, source_refs array<struct<page:int,bbox:array<double>>>, ingested_at timestamp"
+    rows = [("a", 1, "1", "text", "", None, [], None), ("a", 2, "2", None, "x", None, None, None), (None, None, None, "text", "no\nid", None, None, None),
+            ("a", 3, "3", "text", "m0untain " * 4000 + "x" * 5000, None, [(None, None)], None), ("a", 3, "3", "text", "m0untain " * 4000 + "x" * 5000, None, [(None, None)], None),
+            ("a", 4, "4", "text", "\n\n-\n", None, [(1, [1.0])], None)]
+    b = spark.createDataFrame(rows, schema)
+    forms, bad = S.decided(b)
+    assert forms.join(bad, "form").where("misread").count() == 0  # no word is known here
+    assert S.furniture(b).count() == 0
+    assert S.paragraphs(b).count() == 2 and S.paragraphs(b.limit(0)).count() == 0
