@@ -39,6 +39,8 @@ from folioflow.llm.markup import PLAIN_KINDS
 LONGEST = 1_000
 #: A word is frequent from 1/FREQUENT of all occurrences, so that there are no more than FREQUENT such words.
 FREQUENT, SAMPLE_WORDS = 100_000, 6_000
+#: To so many examples the counts of line signatures are scaled for training.
+EXAMPLES = 20_000
 #: How many times as frequent a word must be to speak against another spelling; to do so though it is
 #: not frequent, or against one that is.
 TIMES, MANY_TIMES = 8, 30
@@ -146,7 +148,7 @@ class Editor:
         for size in (1, 2, 3):
             wrong = word[i : i + size]
             for right in CONFUSIONS.get(wrong, ()) if len(wrong) == size else ():
-                got = self._reach(word[:i] + right + word[i + size :], i + len(right), 1 if len(word) > 3 else 0)
+                got = self._reach(word[:i] + right + word[i + size :], i + len(right), 1 if len(word) > 3 else 0) if self.counts else 0
                 out.append(option(f"{wrong}>{right}", right, size, got))
         if len(word) >= SHORT and word.isalpha():
             if i < len(word) and (not i or b != a) and len(word) > SHORT and (got := self.counts.get(word[:i] + word[i + 1 :], 0)):
@@ -415,12 +417,26 @@ def neighbours(words: DataFrame) -> DataFrame:
     return pairs.groupBy("w", "n").agg(F.collect_set(F.struct(F.col("_c").alias("w"), F.col("_m").alias("n"))).alias("near"))
 
 
+def beside(each: DataFrame, near: DataFrame, least: float) -> DataFrame:
+    """(w, c, beside): for frequent words and those that are ``near`` them, how often the other
+    occurs in books for each time the word does there. A misreading stands in books where the
+    right word is common; a word of another language or subject need not. As both words are
+    frequent, what is sent to the executors is bounded."""
+    pairs = checkpoint(near.where(F.col("n") >= least).select("w", F.explode("near").alias("x")).select("w", F.col("x.w").alias("c")))
+    words = pairs.select("w").union(pairs.select("c")).distinct()
+    spelt = words.select("w", F.explode(F.array("w", F.concat(F.lit("\x01"), "w"), F.concat(F.lit("\x03"), "w"))).alias("form"))
+    there = checkpoint(each.select("doc_id", "form").join(F.broadcast(spelt), "form").groupBy("doc_id", "w").agg(F.count("*").alias("k")))
+    both = there.join(F.broadcast(pairs), "w").join(there.select("doc_id", F.col("w").alias("c"), F.col("k").alias("_k")), ["doc_id", "c"], "left")
+    return both.groupBy("w", "c").agg((F.coalesce(F.sum("_k"), F.lit(0)) / F.sum("k")).alias("beside"))
+
+
 def own_count(n: int, near: dict[str, int], word: str, total: int) -> dict[str, float]:
     """What speaks for the word and its neighbours, a count a FREQUENT words of text.
 
     Neighbours do that are TIMES as frequent as the word and either frequent or MANY_TIMES as
     frequent as it, but for those that are misreadings of other neighbours. The word speaks for
-    itself if it is frequent and no confusion makes a word MANY_TIMES as frequent of it."""
+    itself if it is frequent and very short or no confusion makes a word MANY_TIMES as frequent
+    of it. Of a frequent word only those neighbours are given that are common ``beside`` it."""
     scale = FREQUENT / max(total, 1)
     out = {c: m * scale for c, m in near.items() if m >= TIMES * max(n, 1) and (m * scale >= 1 or m >= MANY_TIMES * max(n, 1))}
     out = {c: max(m, 1.0) for c, m in out.items() if not any(out.get(x, 0) >= MANY_TIMES * m for x in _spellings(c, CONFUSIONS))}
@@ -456,13 +472,17 @@ def decided(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
         out = []
         for word, count, them in zip(w, n, near):
             known = own_count(count, {x["w"]: x["n"] for x in them} if them is not None else {}, word, total)
-            new = Editor(known, weights).edit(word) if known or _SYMBOLS & set(word) else word
+            # A word that speaks for itself is none to repair.
+            new = Editor(known, weights).edit(word) if word not in known and (known or _SYMBOLS & set(word)) else word
             out.append(None if new == word else new)
         return pd.Series(out, dtype=object)
 
     odd = F.col("w").rlike(r"[0-9!|@€+$]")
-    near = neighbours(words)
+    near = checkpoint(neighbours(words))
+    common = beside(each, near, 1 / scale).where(F.col("beside") >= TIMES).groupBy("w").agg(F.collect_set("c").alias("_common"))
+    near = near.join(F.broadcast(common), "w", "left").select("w", "n", F.when(F.col("n") < 1 / scale, F.col("near")).otherwise(F.filter("near", lambda x: F.array_contains(F.coalesce("_common", F.array()), x["w"]))).alias("near"))
     some = near.unionByName(words.where(odd).withColumn("near", F.lit(None).cast("array<struct<w:string,n:bigint>>"))).groupBy("w", "n").agg(F.max("near").alias("near"))
+    some = some.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w")  # few bytes, but much to do with each
     fixes = checkpoint(some.select("w", fixed("w", "n", "near").alias("fix")).where("fix is not null"))
 
     broken = counts.where(F.col("form").startswith("\x02")).select("form", F.split("form", "\x02").alias("p"))
@@ -546,7 +566,7 @@ def line_signature(line: str, line_no: int, n_lines: int, kind: str, page: int |
     letters = "".join(words)
     upper = sum(c.isupper() for c in letters) > 0.9 * len(letters) if letters else False
     size = "short" if len(line) <= 60 and len(split) <= 9 else "long" if len(line) <= 120 else "prose"
-    form = "number" if number else "lower" if line[0].islower() else "ended" if re.search(rf"[,;:{HYPHENS}]$|[.!?…][\"”’)]?$", line) else "open"
+    form = "number" if number else "lower" if line[0].islower() else "ended" if re.search(rf"[{HYPHENS},;:]$|[.!?…][\"”’)]?$", line) else "open"
     what = "number" if number else "title"
     named = any(not _PAGE_WORD.match(w) for w in words)
     place = [what, where, kind if kind in PLAIN_KINDS else "other", *("01"[x] for x in (same, caps, signs, upper, flag, page is not None)), size, form]
@@ -633,8 +653,8 @@ def train_lines(counts: list[tuple[str, int]]) -> Perceptron:
     """Labels by plain cases: a short block alone at a page's edge is furniture, a heading alone
     within a page and a line of prose are not. Each furniture line is learnt a second time as
     it would stand inside a block, without its place. ``counts`` are all signatures with how
-    many lines have them; more frequent ones are learnt more often."""
-    examples = []
+    many lines have them, in proportion to which they are learnt, each at least once."""
+    examples, total = [], sum(n for _, n in counts)
     for signature, n in sorted(counts):
         what, where, kind, same, caps, signs, upper, flag, page, size, form, place, edge, body, inside = signature.split("|")
         alone, number = where == "sole", what == "number"
@@ -648,7 +668,7 @@ def train_lines(counts: list[tuple[str, int]]) -> Perceptron:
             gold, twice = "no", False
         else:
             continue
-        for _ in range(1 + int(3 * math.log2(n))):
+        for _ in range(max(1, round(n * EXAMPLES / total))):
             for dropped in (False, True) if twice else (False,):
                 f = line_features(signature, dropped)
                 examples.append(([("yes", f), ("no", [])], gold))
@@ -657,7 +677,7 @@ def train_lines(counts: list[tuple[str, int]]) -> Perceptron:
     stray = "number|mid|text|0|0|0|0|0|1|short|number|body|0|0|0"  # numbers that stand alone on a wrapped line of prose
     examples += [([("yes", line_features(stray)), ("no", [])], "no")] * max(40, len(examples) // 60)
     random.Random(5).shuffle(examples)
-    return Perceptron().fit(examples, epochs=10)
+    return Perceptron().fit(examples, epochs=6)
 
 
 def furniture(blocks: DataFrame) -> DataFrame:

@@ -107,3 +107,14 @@ def test_hard_rows_do_not_crash(spark):
     assert forms.join(bad, "form").where("misread").count() == 0  # no word is known here
     assert S.furniture(b).count() == 0
     assert S.paragraphs(b).count() == 2 and S.paragraphs(b.limit(0)).count() == 0
+
+
+def test_words_of_another_language_are_kept(spark):
+    en = "the captain looked at the station and the mountain at the village and waited at the harbour".split()
+    es = "fueron al puerto y al mercado viejo donde esperaban todos".split()
+    rows = [(f"e{b}", f"{i}", "text", " ".join(en)) for b in range(6) for i in range(60)] + [("s", f"{i}", "text", " ".join(es)) for i in range(12)]
+    rows += [(f"e{b}", "x", "text", "the mounlain village and the statlon") for b in range(6)]
+    blocks = spark.createDataFrame(rows, "doc_id string, id string, kind string, text string")
+    forms, bad = S.decided(blocks)
+    got = {r.form.lstrip("\x03") for r in forms.join(bad, "form").where("misread").select("form").distinct().collect()}
+    assert "mounlain" in got and got <= {"mounlain", "statlon"}
