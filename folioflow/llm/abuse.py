@@ -5,7 +5,8 @@ not; forward-backward gives each token's marginal, the best-supported run of tok
 sentence's score and the greatest sentence the document's, with the offsets of what offends.
 
 Tokens are labelled in two rounds: first the phrases of ``abuse_seeds`` and, as inoffensive,
-all sentences of documents that reviewers found clean; then the sentences of documents found
+all sentences of documents that reviewers found clean, and with little weight sentences drawn
+from documents at large; then the sentences of documents found
 abusive are tagged by that first model, or, if it finds none, by what sets a sentence apart
 from all clean ones. Reviewers err: a document counts by the majority of its labels and not
 at all if they tie. The fit uses at most SAMPLE reviewed documents.
@@ -14,6 +15,7 @@ Before tagging, disguises are undone: letters spaced out, repeated, replaced by
 masked by stars. Null and blank texts score 0. Text is worked in full, by sentences.
 """
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -31,11 +33,13 @@ from folioflow.llm.cutoff import source_key
 
 #: Reviewed documents that the model is fitted on, at most.
 SAMPLE = 3_000
-#: Unreviewed documents that stand for ordinary language, at most.
-BACKGROUND = 1_500
+#: Documents whose sentences stand for ordinary language, at most, and sentences of each.
+BACKGROUND, SENTENCES = 1_500, 40
 THRESHOLD, BITS, WINDOW = 0.5, 18, 4
 SIZE = 1 << BITS
 _SENTENCE = re.compile(r"[^.!?。！？…\n;；]*(?:\.(?=\w)[^.!?。！？…\n;；]*)*[.!?。！？…\n;；]*[\s\"”»“’)\]]*")
+#: A sentence, or a part of a very long one.
+_STRETCH = r"[^.!?。！？…\n;；]{1,600}[.!?。！？…;；]*"
 _HAN = r"㐀-䶿一-鿿぀-ヿ가-힯"
 _TOKEN = re.compile(rf"(?<![^\W_])(?:[^\W\d_{_HAN}](?:[ .\-_*][^\W\d_{_HAN}]){{2,}})(?![^\W_])|[{_HAN}]|[^\W_{_HAN}][\w*@$!€'’]*[^\W_{_HAN}*]|[@$][^\W_{_HAN}]\w+|[^\W_{_HAN}]|[^\w\s]")
 _LEET = str.maketrans("013457@$!€", "oieastasie")
@@ -307,18 +311,35 @@ def train(clean: list[str], abusive: list[str], ordinary: list[str] = ()) -> Tag
 
 def reviewed(documents: DataFrame, labels: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """At most SAMPLE reviewed texts, chosen by hash of their id, clean ones and abusive ones;
-    and at most BACKGROUND texts that are not among the abusive ones."""
+    and of at most BACKGROUND texts of any length at most SENTENCES stretches each, chosen by
+    hash, but for those of abusive ones."""
     votes = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("y")).where("y <> 0.5")
     few = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").orderBy("doc_id").collect()
     clean, abusive = [r.text for r in rows if r.y < 0.5], [r.text for r in rows if r.y > 0.5]
-    rest = documents.select("doc_id", "text").where("text is not null and length(text) < 5000").orderBy(F.xxhash64("doc_id"), "doc_id").limit(BACKGROUND).collect()
-    return clean, abusive, [r.text for r in rest if r.text not in set(abusive)]
+    some = documents.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(BACKGROUND)
+    drawn = F.transform(F.regexp_extract_all("text", F.lit(_STRETCH), F.lit(0)), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("s")))
+    rest = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", F.slice(F.array_sort(drawn), 1, SENTENCES).alias("d")).orderBy("doc_id").collect()
+    bad = set(abusive)
+    return clean, abusive, [x.s for r in rest for x in r.d if not any(x.s in t for t in bad)]
+
+
+_FITTED: dict[bytes, Tagger] = {}
+
+
+def fitted(documents: DataFrame, labels: DataFrame) -> Tagger:
+    """The tagger of these tables; what was fitted on the same texts is not fitted again."""
+    texts = reviewed(documents, labels)
+    key = hashlib.sha256(repr(texts).encode("utf-8", "surrogatepass")).digest()
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = train(*texts)
+    return _FITTED[key]
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score, spans) of every document; ``spans`` are offending offsets."""
-    tagger = train(*reviewed(documents, labels))
+    tagger = fitted(documents, labels)
     weights, trans = tagger.w.astype(np.float32), tagger.trans
     tag = F.pandas_udf(_iterating(weights, trans), "score double, spans array<struct<start:int,end:int>>")
     return spread(documents.where("doc_id is not null").select("doc_id", "source", "text")).select("doc_id", "source", tag("text").alias("r")).select("doc_id", "source", "r.score", "r.spans")

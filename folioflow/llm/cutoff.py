@@ -25,14 +25,14 @@ from folioflow.context import checkpoint, read, spread
 PRIOR, THRESHOLD = 2.0, 0.02
 _FENCE = r"(?m)^[ \t]*(?:```|~~~)[^\n]*$"
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-_TOKEN = rf"[{_CJK}]|(?:[\p{{L}}\p{{M}}\p{{N}}_&&[^{_CJK}]]){{1,40}}|[.]{{2,}}|[^\s\p{{L}}\p{{M}}\p{{N}}_]"
+_TOKEN = rf"(?:[a-z0-9_[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]]){{1,40}}|(?![\x00-\x7F])[{_CJK}]|[.]{{2,}}|[^\s\p{{L}}\p{{M}}\p{{N}}_]"
 _AFTER = r"(?:\s*(?:\.{3,}|…+|[\[(](?:\.{3,}|…)[\])]|�+|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2})?|&(?:[A-Za-z]{1,8}|#x?[0-9a-fA-F]{0,6})?;?|<!-{0,2}[^<>\n]*|</?[A-Za-z]*(?:\s[^<>\n]*)?|\u200B))+\s*$"
 
 
 def bare(text: Column) -> Column:
     """The text without what was put after its end."""
-    t = F.regexp_replace(text, r"\s+$", "")
-    return F.regexp_replace(F.regexp_replace(t, _AFTER, ""), r"\s+$", "")
+    end = lambda t: F.rtrim(t, F.lit(" \t\n\x0b\f\r"))
+    return end(F.regexp_replace(end(text), _AFTER, ""))
 
 
 def _tokens(line: Column) -> Column:
@@ -48,12 +48,25 @@ def _kind(word: Column) -> Column:
     return F.when(word.rlike(rf"^[{_CJK}]"), "h").when(word.rlike(r"^[\p{L}\p{M}]"), "w").when(word.rlike(r"^\p{N}"), "0").otherwise(word)
 
 
+def lines_of(documents: DataFrame) -> DataFrame:
+    """(doc_id, key, last, m, code, t): the tokens of every line, made once. ``key`` is equal for
+    equal texts, ``last`` marks the line a text ends with."""
+    d = documents.where("text is not null").select("doc_id", bare(F.col("text")).alias("text"))
+    d = d.select("doc_id", F.xxhash64("text").alias("key"), F.split("text", _FENCE).alias("_parts"))
+    d = d.select("doc_id", "key", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_i", "_part"))
+    d = d.select("doc_id", "key", (F.col("_i") % 2 == 1).alias("code"), (F.col("_i") == F.col("_n") - 1).alias("_end"), F.split("_part", r"\n").alias("_lines"))
+    d = d.select("doc_id", "key", "code", "_end", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_j", "line")).where(F.trim("line") != "")
+    last = F.col("_end") & (F.col("_j") == F.col("_n") - 1)
+    return d.select("doc_id", "key", last.alias("last"), _mark(F.col("line"), F.col("code")).alias("m"), "code", _tokens(F.col("line")).alias("t"))
+
+
 def trigrams(documents: DataFrame) -> DataFrame:
     """(m, w1, w2, w3, n, n_end): how often a trigram occurs and how often at an end."""
-    parts = documents.where("text is not null").select(F.posexplode(F.split(bare(F.col("text")), _FENCE)).alias("_i", "_part"))
-    lines = parts.select((F.col("_i") % 2 == 1).alias("code"), F.explode(F.split("_part", r"\n")).alias("line"))
-    toks = lines.where(F.trim("line") != "").select(_mark(F.col("line"), F.col("code")).alias("m"), "code", _tokens(F.col("line")).alias("t"))
-    rows = toks.select(
+    return _trigrams(lines_of(documents))
+
+
+def _trigrams(lines: DataFrame) -> DataFrame:
+    rows = lines.select(
         "m", "code", F.size("t").alias("_n"), F.posexplode(F.transform("t", lambda w, i: F.struct(
             F.when(i > 1, F.get("t", i - 2)).otherwise("").alias("w1"), F.when(i > 0, F.get("t", i - 1)).otherwise("").alias("w2"), w.alias("w3")))).alias("i", "g"),
     )
@@ -64,16 +77,15 @@ def trigrams(documents: DataFrame) -> DataFrame:
 def finals(documents: DataFrame) -> DataFrame:
     """(doc_id, own, m, w1, w2, w3): the last trigram of each text, and how many texts are
     equal to it. A text that ends in a closed code block has none."""
-    d = documents.where("text is not null and doc_id is not null").select("doc_id", bare(F.col("text")).alias("t"))
-    parts = F.split("t", _FENCE)
-    d = d.select("doc_id", F.xxhash64("t").alias("_key"), F.size(parts).alias("_n"), F.regexp_replace(F.element_at(parts, -1), r"\s+$", "").alias("_last"))
-    line = F.element_at(F.split("_last", r"\n"), -1)
-    code = F.col("_n") % 2 == 0
-    t = d.where("_last <> ''").select("doc_id", "_key", _mark(line, code).alias("m"), _tokens(line).alias("t")).where(F.size("t") > 0)
+    return _finals(lines_of(documents))
+
+
+def _finals(lines: DataFrame) -> DataFrame:
+    t = lines.where(F.col("last") & F.col("doc_id").isNotNull() & (F.size("t") > 0))
     at = lambda k: F.coalesce(F.get("t", F.size("t") - k), F.lit(""))
-    t = t.select("doc_id", "_key", "m", at(3).alias("w1"), at(2).alias("w2"), at(1).alias("w3"))
-    copies = t.groupBy("_key").agg(F.count("*").alias("own"))
-    return t.join(copies, "_key").drop("_key")
+    t = t.select("doc_id", "key", "m", at(3).alias("w1"), at(2).alias("w2"), at(1).alias("w3"))
+    copies = t.groupBy("key").agg(F.count("*").alias("own"))
+    return t.join(copies, "key").drop("key")
 
 
 def _going_on(grams: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,9 +100,8 @@ def _going_on(grams: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame
 
 def scores(documents: DataFrame) -> DataFrame:
     """(doc_id, p_end): the share of its last trigram's occurrences that end, by back-off."""
-    documents = spread(documents.select("doc_id", "text"))
-    tri = checkpoint(trigrams(documents))
-    last = checkpoint(finals(documents))
+    lines = checkpoint(lines_of(spread(documents.select("doc_id", "text"))))
+    tri, last = checkpoint(_trigrams(lines)), checkpoint(_finals(lines))
     out = last.withColumn("kind", _kind(F.col("w3")))
     grams = {
         ("m", "w1", "w2"): tri,

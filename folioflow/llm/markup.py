@@ -10,7 +10,7 @@ labelling with the greatest total score under that rule is taken. No labels exis
 tables; the trees are trained on phrases composed here of both sorts.
 
 Null and empty texts give no nodes and themselves as text. Repeated rows of a block count
-once. Nesting deeper than MAX_DEPTH is read as text of the innermost node.
+once. Neither the length of a construct nor the depth of nesting is bounded.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import functools
 import html
 import random
 import re
+import sys
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from folioflow.context import read, spread
 from folioflow.llm.boost import BoostedTrees
 
-MAX_DEPTH = 12
 #: Kinds of blocks that should be plain.
 PLAIN_KINDS = ("text", "heading", "caption", "footnote")
 
@@ -52,25 +52,25 @@ _KINDS: list[tuple[str, str, bool, str]] = [
     ("comment", "html", True, r"<!--[\s\S]*?(?:-->|\Z)"),
     ("close", "html", False, r"</[A-Za-z][\w:-]*\s*>"),
     ("open", "html", False, r"<[A-Za-z][\w:-]*(?:\s+[^<>]*|\s*/)?/?>"),
-    ("cut_tag", "html", False, r"</?[A-Za-z][\w:-]*(?:\s[^<>\n]{0,200})?(?=\Z|\n)"),
-    ("angle", "html", False, r"<[^\s<>][^<>\n]{0,60}>|<\s[^<>\n]{0,60}>"),
-    ("escaped", "html", False, r"&(?:amp;)?lt;/?[A-Za-z!][^&<>\n]{0,200}(?:&(?:amp;)?gt;|>)"),
+    ("cut_tag", "html", False, r"</?[A-Za-z][\w:-]*(?:\s[^<>\n]*)?(?=\Z|\n)"),
+    ("angle", "html", False, r"<[^\s<>][^<>\n]*>|<\s[^<>\n]*>"),
+    ("escaped", "html", False, r"&(?:amp;)?lt;/?[A-Za-z!][^&<>\n]*(?:&(?:amp;)?gt;|>)"),
     ("entity", "html", False, r"&(?:amp;)?(?:[A-Za-z][A-Za-z0-9]{1,9}|\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6});"),
     ("bare_amp", "html", False, r"&[A-Za-z]\w*"),
-    ("begin", "latex", False, r"\\begin\s*\{[^{}\n]{1,40}\}(?:\[[^\]\n]*\])?"),
-    ("end", "latex", False, r"\\end\s*\{[^{}\n]{1,40}\}"),
-    ("display", "latex", True, r"\$\$(?P<in_d1>[^$]{1,2000}?)\$\$|\\\[(?P<in_d2>[\s\S]{1,2000}?)\\\]"),
-    ("paren", "latex", True, r"\\\((?P<in_p>[^\n]{1,500}?)\\\)"),
-    ("dollar", "latex", True, r"(?<![\\$\w])\$(?P<in_m>[^$\n]{1,200}?)(?<!\\)\$(?![\d$])|\$(?P<in_m2>[^$\n]{1,200}?)\$"),
+    ("begin", "latex", False, r"\\begin\s*\{[^{}\n]+\}(?:\[[^\]\n]*\])?"),
+    ("end", "latex", False, r"\\end\s*\{[^{}\n]+\}"),
+    ("display", "latex", True, r"\$\$(?P<in_d1>[^$]+?)\$\$|\\\[(?P<in_d2>(?:(?!\\\[)[\s\S])+?)\\\]"),
+    ("paren", "latex", True, r"\\\((?P<in_p>(?:(?!\\\()[^\n])+?)\\\)"),
+    ("dollar", "latex", True, r"(?<![\\$\w])\$(?P<in_m>[^$\n]+?)(?<!\\)\$(?![\d$])|\$(?P<in_m2>[^$\n]+?)\$"),
     ("newline", "latex", False, r"\\\\(?:\*|\[[-\d.]+\s*(?:pt|em|ex|cm|mm|in)\])?(?=\s|\Z|\[|[^\w\\])"),
-    ("command", "latex", False, r"\\[A-Za-z]{2,}\*?(?:\[[^\]\n]{0,60}\])?(?:\s?\{(?P<in_c>[^{}\n]{0,300})\})*"),
-    ("group", "latex", False, r"\{\\(?:it|bf|sc|em|tt|sl|rm|sf|small|large)\b\s*(?P<in_g>[^{}]{0,500})\}"),
+    ("command", "latex", False, r"\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])?(?:\s?\{(?P<in_c>[^{}\n]*)\})*"),
+    ("group", "latex", False, r"\{\\(?:it|bf|sc|em|tt|sl|rm|sf|small|large)\b\s*(?P<in_g>[^{}]*)\}"),
     ("tex_escape", "latex", False, r"\\[%&$]"),
     ("md_escape", "markdown", False, r"\\[*_`\#\[\]()>~+!|{}.-]"),
-    ("tex_quote", "latex", False, r"``(?P<in_q>[^`\n]{1,500}?)''"),
-    ("template", "wiki", False, r"\{\{[^{}]{1,2000}(?:\}\}|\Z)"),
+    ("tex_quote", "latex", False, r"``(?P<in_q>[^`\n]+?)''"),
+    ("template", "wiki", False, r"\{\{[^{}]+(?:\}\}|\Z)"),
     ("wiki_table", "wiki", False, r"\{\|[\s\S]*?(?:\n?\|\}|\Z)"),
-    ("wiki_link", "wiki", False, r"\[\[(?P<in_w>[^\[\]\n]{1,300})\]\]"),
+    ("wiki_link", "wiki", False, r"\[\[(?P<in_w>[^\[\]\n]+)\]\]"),
     ("cut_link", "wiki", False, r"\[\[|\]\]"),
     ("external", "wiki", False, r"\[(?:https?|ftp)://[^\s\]]+(?:\s+(?P<in_e>[^\[\]\n]*))?\]"),
     ("wiki_strong", "wiki", False, r"'{3,5}(?P<in_ws>[^'\n](?:[^\n]*?[^'\n])??)'{3,5}"),
@@ -85,25 +85,25 @@ _KINDS: list[tuple[str, str, bool, str]] = [
     ("bullet", "markdown", False, r"(?m:^)[ \t]*[-*+][ \t]+(?=\S)"),
     ("number", "markdown", False, r"(?m:^)[ \t]*\d{1,3}[.)][ \t]+(?=\S)"),
     ("quote", "markdown", False, r"(?m:^)[ \t]{0,3}>[ \t]?(?=\S)"),
-    ("reference", "markdown", False, r"(?m:^)[ \t]{0,3}\[[^\]\n]{1,60}\]:[ \t]*\S[^\n]*"),
-    ("image", "markdown", False, r"!\[(?P<in_i>[^\]\n]{0,200})\]\([^()\s]{1,400}(?:\s+[\"'][^\n\"']*[\"'])?\)(?:\{[^{}\n]*\})?"),
-    ("link", "markdown", False, r"\[(?P<in_l>[^\[\]\n]{0,300})\]\((?:https?://|mailto:|/|\.|\#|[\w-]+\.)[^()\n]{0,400}\)(?:\{[^{}\n]*\})?"),
-    ("footmark", "markdown", False, r"\[\^[^\]\s]{1,30}\]"),
-    ("ref_link", "markdown", False, r"\[(?P<in_r>[^\[\]\n]{1,200})\]\[[^\[\]\n]{0,60}\]"),
-    ("span", "markdown", False, r"\[(?P<in_sp>[^\[\]\n]{0,200})\]\{[^{}\n]{1,200}\}"),
-    ("attribute", "markdown", False, r"\{[ \t]*[.\#][^{}\n]{1,200}\}|\{[\w-]+=[^{}\n]{1,200}\}"),
-    ("code", "markdown", True, r"(?P<t1>`+)(?P<in_code>[^`\n]{1,400}?)(?P=t1)(?!`)"),
+    ("reference", "markdown", False, r"(?m:^)[ \t]{0,3}\[[^\]\n]+\]:[ \t]*\S[^\n]*"),
+    ("image", "markdown", False, r"!\[(?P<in_i>(?:(?!!\[)[^\]\n])*)\]\([^()\s]+(?:\s+[\"'][^\n\"']*[\"'])?\)(?:\{[^{}\n]*\})?"),
+    ("link", "markdown", False, r"\[(?P<in_l>[^\[\]\n]*)\]\((?:https?://|mailto:|/|\.|\#|[\w-]+\.)[^()\n]*\)(?:\{[^{}\n]*\})?"),
+    ("footmark", "markdown", False, r"\[\^[^\[\]\s]+\]"),
+    ("ref_link", "markdown", False, r"\[(?P<in_r>[^\[\]\n]+)\]\[[^\[\]\n]*\]"),
+    ("span", "markdown", False, r"\[(?P<in_sp>[^\[\]\n]*)\]\{[^{}\n]+\}"),
+    ("attribute", "markdown", False, r"\{[ \t]*[.\#][^{}\n]+\}|\{[\w-]+=[^{}\n]+\}"),
+    ("code", "markdown", True, r"(?P<t1>`+)(?P<in_code>[^`\n]+?)(?P=t1)(?!`)"),
     ("tick", "markdown", False, r"`"),
-    ("strong", "markdown", False, r"(?P<b1>\*{2,3}|__)(?=\S)(?P<in_s>[^\n]{1,500}?)(?<=\S)(?P=b1)"),
-    ("strike", "markdown", False, r"~~(?=\S)(?P<in_st>[^~\n]{1,400}?)(?<=\S)~~"),
+    ("strong", "markdown", False, r"(?P<b1>\*{2,3}|__)(?=\S)(?P<in_s>[^\n]+?)(?<=\S)(?P=b1)"),
+    ("strike", "markdown", False, r"~~(?=\S)(?P<in_st>[^~\n]+?)(?<=\S)~~"),
     ("stars", "markdown", False, r"\*{2,3}|~~|(?<!\w)__(?=\w)|(?<=\w)__(?!\w)"),
-    ("emphasis", "markdown", False, r"\*(?P<in_em>[^*\n]{1,300}?)\*|(?<![\w_])_(?P<in_eu>[^\s_](?:[^\n]{0,300}?[^\s_])??)_(?![\w_])"),
+    ("emphasis", "markdown", False, r"\*(?P<in_em>[^*\n]+?)\*|(?<![\w_])_(?P<in_eu>[^\s_](?:(?:(?!(?<![\w_])_)[^\n])*?[^\s_])??)_(?![\w_])"),
     ("under", "markdown", False, r"_"),
     ("star", "markdown", False, r"\*"),
     ("pipe_row", "markdown", False, r"(?m:^)[ \t]*\|[^\n]*\|[ \t]*\r?(?=\n|\Z)"),
     ("autolink", "markdown", False, r"(?<=\s)(?:https?)://\S+"),
-    ("bracket", "markdown", False, r"\[[^\[\]\n]{1,80}\]"),
-    ("brace", "markdown", False, r"\{[^{}\n]{1,80}\}"),
+    ("bracket", "markdown", False, r"\[[^\[\]\n]+\]"),
+    ("brace", "markdown", False, r"\{[^{}\n]+\}"),
     ("hash", "markdown", False, r"\#"),
     ("backslash", "latex", False, r"\\"),
     ("tie", "latex", False, r"(?<=\w)~(?=\\)"),
@@ -140,32 +140,39 @@ class Node:
         self.closed = a >= 0 or kind in ("comment", "entity", "template", "wiki_table")
 
 
-def parse(text: str, base: int = 0, depth: int = 0, parent: Node | None = None) -> list[Node]:
-    """The nodes of a text, those inside others as their kids."""
-    nodes: list[Node] = []
-    stack: list[Node] = []
-    for m in _SCAN.finditer(text):
-        kind = m.lastgroup if m.lastgroup in FAMILY else next(k for k in KINDS if m.group(k) is not None)
-        inner = next((g for g in _INNER if m.group(g) is not None), None)
-        a, b = (m.span(inner) if inner else (-1, -1))
-        partner = None
-        if kind in ("close", "end"):
-            name, other = _name(kind, m.group()), "open" if kind == "close" else "begin"
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].kind == other and stack[i].name == name:
-                    partner = stack[i]
+def parse(text: str) -> list[Node]:
+    """The nodes of a text, those inside others as their kids, to any depth."""
+    roots: list[Node] = []
+    todo: list[tuple[int, int, int, Node | None]] = [(0, len(text), 0, None)]
+    while todo:
+        base, end, depth, parent = todo.pop()
+        nodes = roots if parent is None else parent.kids
+        stack: list[Node] = []
+        open_at: dict[tuple[str, str], list[int]] = {}
+        for m in _SCAN.finditer(text[base:end]):
+            kind = m.lastgroup if m.lastgroup in FAMILY else next(k for k in KINDS if m.group(k) is not None)
+            inner = next((g for g in _INNER if m.group(g) is not None), None)
+            a, b = (m.span(inner) if inner else (-1, -1))
+            partner = None
+            if kind in ("close", "end"):
+                places = open_at.get(("open" if kind == "close" else "begin", _name(kind, m.group())))
+                if places:
+                    at = places[-1]
+                    partner = stack[at]
                     partner.closed, partner.a, partner.b = True, partner.end, base + m.start()
-                    del stack[i:]
-                    break
-        up = stack[-1] if stack else parent
-        node = Node(kind, base + m.start(), base + m.end(), base + a if a >= 0 else -1, base + b if b >= 0 else -1, depth + len(stack), up, m.group())
-        node.closed |= partner is not None
-        (stack[-1].kids if stack else nodes).append(node)
-        if a >= 0 and kind not in OPAQUE and depth < MAX_DEPTH and b > a:
-            node.kids = parse(text[a:b], base + a, depth + len(stack) + 1, node)
-        if kind in ("open", "begin") and len(stack) < MAX_DEPTH and not m.group().endswith("/>") and node.name not in ("br", "img", "hr", "input", "meta"):
-            stack.append(node)
-    return nodes
+                    for gone in stack[at:]:
+                        open_at[(gone.kind, gone.name)].pop()
+                    del stack[at:]
+            up = stack[-1] if stack else parent
+            node = Node(kind, base + m.start(), base + m.end(), base + a if a >= 0 else -1, base + b if b >= 0 else -1, depth + len(stack), up, m.group())
+            node.closed |= partner is not None
+            (stack[-1].kids if stack else nodes).append(node)
+            if b > a >= 0 and kind not in OPAQUE:
+                todo.append((base + a, base + b, node.depth + 1, node))
+            if kind in ("open", "begin") and not m.group().endswith("/>") and node.name not in ("br", "img", "hr", "input", "meta"):
+                open_at.setdefault((kind, node.name), []).append(len(stack))
+                stack.append(node)
+    return roots
 
 
 def flat(nodes: list[Node]) -> list[Node]:
@@ -213,16 +220,33 @@ def _keeps(n: Node) -> bool:
 _VERBATIM = ("equation", "align", "verbatim", "lstlisting", "displaymath", "gather")
 
 
-def decode(roots: list[Node], score: dict[int, float]) -> None:
-    """From the roots down: a node is notation by its own score, unless a labelled ancestor
-    keeps what stands inside it; only tags inside a pre may still be tags."""
-    todo = [(n, None) for n in roots]
-    while todo:
-        n, keeper = todo.pop()
-        tag = keeper is not None and keeper.name == "pre" and n.kind in ("open", "close") and n.name == "code"
-        n.label = score[id(n)] > 0 and (keeper is None or tag)
-        below = n if n.label and _keeps(n) and not tag else keeper
-        todo.extend((k, below) for k in n.kids)
+def decode(order: list[Node], score: list[float]) -> None:
+    """The labelling of a tree with the greatest total score under the rule that nothing is
+    notation inside code or a formula that is kept, but for the code tags of a pre.
+
+    From the leaves up, each node gets the best total of its subtree with and without a
+    keeping ancestor; from the roots down, the labels are read off. ``order`` has parents
+    before their kids."""
+    free, in_pre, labelled = {}, {}, {}
+    for n, s in zip(reversed(order), reversed(score)):
+        outside = sum(free[id(k)] for k in n.kids)
+        pre = sum(in_pre[id(k)] for k in n.kids)
+        with_label = s + ((pre if n.name == "pre" else 0.0) if _keeps(n) else outside)
+        labelled[id(n)] = (with_label > outside, s > 0)
+        free[id(n)] = max(with_label, outside)
+        in_pre[id(n)] = pre + (max(s, 0.0) if _code_tag(n) else 0.0)
+    keeper: dict[int, Node] = {}
+    for n in order:
+        up = keeper.get(id(n))
+        n.label = labelled[id(n)][0] if up is None else up.name == "pre" and _code_tag(n) and labelled[id(n)][1]
+        below = n if up is None and n.label and _keeps(n) else up
+        if below is not None:
+            for k in n.kids:
+                keeper[id(k)] = below
+
+
+def _code_tag(n: Node) -> bool:
+    return n.kind in ("open", "close") and n.name == "code"
 
 
 _WORDS = "quiet harbour the a patient ledger of moon and village station with gentle orchid under cellar painted mirror journal after in bitter le puente de der alte Karte 港务局 旧日历".split()
@@ -308,7 +332,7 @@ def labelled_all(texts: list[str], trees: BoostedTrees) -> list[list[Node]]:
     if rows:
         score, at = trees.score(np.concatenate(rows)).tolist(), 0
         for r, o in zip(roots, orders):
-            decode(r, {id(n): score[at + i] for i, n in enumerate(o)})
+            decode(o, score[at : at + len(o)])
             at += len(o)
     return roots
 
@@ -442,7 +466,11 @@ def clean(text: str | None, trees: BoostedTrees, roots: list[Node] | None = None
     ticks and formulas between dollar signs, nothing else of the notation."""
     if not text:
         return text
-    s = _render(text, labelled(text, trees) if roots is None else roots, 0, len(text))
+    roots = labelled(text, trees) if roots is None else roots
+    deepest = 4 * max((n.depth for n in flat(roots)), default=0) + 1_000
+    if deepest > sys.getrecursionlimit():
+        sys.setrecursionlimit(deepest)
+    s = _render(text, roots, 0, len(text))
     s = re.sub(r"[ \t]+\n", "\n", s)
     return re.sub(r"\n{3,}", "\n\n", s).strip()
 
@@ -474,8 +502,10 @@ def cleaned(blocks: DataFrame) -> DataFrame:
         out = [clean(t, trees, r) for part in _batches(texts) for t, r in zip(part, labelled_all(part, trees))]
         return pd.Series([c if t is not None else None for t, c in zip(texts, out)], dtype=object)
 
+    # Texts are cleaned where they are read, before blocks are gathered by key.
     noted = F.col("text").rlike(SIGNS)
-    return plain_blocks(blocks).select("doc_id", "id", "kind", F.when(noted, udf("text")).otherwise(F.col("text")).alias("text"))
+    rows = spread(blocks.where(F.col("kind").isin(*PLAIN_KINDS)).select("doc_id", "id", "ingested_at", "ord", "kind", "text"))
+    return plain_blocks(rows.withColumn("text", F.when(noted, udf("text")).otherwise(F.col("text")))).select("doc_id", "id", "kind", "text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

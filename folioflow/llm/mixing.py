@@ -7,7 +7,11 @@ blocks as fit, in permuted order, and texts of the block at the edge, so that th
 to within a text. Which shard of the output a block goes to is drawn by a splitting tree: at
 each node of the tree over shards the blocks of all sources are divided between the two sides
 by a multivariate hypergeometric draw, down to exact quotas for each shard; each source's
-permuted blocks are then dealt out by those quotas, and each shard is shuffled by itself.
+permuted blocks are then dealt out by those quotas, and each shard is shuffled by itself:
+``position`` counts a shard's texts in the order of a random key. There are as many shards as
+SHARD_TOKENS go into the mix's total, SHARDS at least and MOST_SHARDS at most, which bounds
+the tree. Ranks and running sums are taken in two levels, over RANGES stretches of the key
+and within each, so that no source and no shard is one task's.
 
 Copies of a text are one text, which belongs to the mix's source of its least doc_id, so that
 no text is used more than ``max_repeats`` times. Sources are matched without case and outer
@@ -18,7 +22,7 @@ share counts as 0, a cap under 1 as 0 uses. Null and empty texts are not used.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.context import checkpoint, read
@@ -26,6 +30,7 @@ from folioflow.llm.cutoff import source_key
 from folioflow.llm.tokens import VOCABULARY, sized
 
 BLOCK, SHARDS, SEED = 256, 16, 20
+MOST_SHARDS, SHARD_TOKENS, RANGES = 65_536, 1 << 20, 4_096
 
 
 def targets(mix: DataFrame) -> DataFrame:
@@ -59,10 +64,27 @@ def split_quotas(counts: dict[str, int], shards: int, seed: int) -> dict[str, li
     return out
 
 
-def _permuted(*cols: str):
+def _permuted(*cols: str) -> Column:
     return F.xxhash64(F.lit(SEED), *cols)
 
 
+def running(df: DataFrame, by: list[str], key: Column, ties: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each in the order of (key, ties) within
+    ``by``: sums of stretches of the key are run over the group, and rows within a stretch."""
+    df = df.withColumn("_key", key).withColumn("_range", F.shiftrightunsigned("_key", 52)).withColumn("_value", value)
+    over = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*by, "_range").agg(F.sum("_value").alias("_base"))
+    sums = sums.select(*by, "_range", F.coalesce(F.sum("_base").over(over), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*by, "_range").orderBy("_key", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.join(sums, [*by, "_range"]).withColumn(name, F.col("_base") + F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    return df.drop("_key", "_range", "_value", "_base")
+
+
+def n_shards(total: int | None, least: int = SHARDS) -> int:
+    """How many shards a mix of so many tokens has."""
+    return min(MOST_SHARDS, max(least, -(-int(total or 0) // SHARD_TOKENS)))
+
+
 def texts_of(documents: DataFrame, goals: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(mix_name, source, doc_id, n_tokens, block): the distinct texts that a mix may use.
     Tokens are counted once a text; texts themselves are not shuffled."""
@@ -76,9 +98,8 @@ def texts_of(documents: DataFrame, goals: DataFrame, path: str = VOCABULARY) ->
 
 def chosen(texts: DataFrame, goals: DataFrame) -> DataFrame:
     """(mix_name, source, doc_id, n_tokens, block, round): the texts drawn, with repetitions."""
-    per = texts.groupBy("mix_name", "source", "block").agg(F.sum("n_tokens").alias("t"))
-    order = Window.partitionBy("mix_name", "source").orderBy(_permuted("mix_name", "source", "block"), "block")
-    per = per.withColumn("before", F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    per = checkpoint(texts.groupBy("mix_name", "source", "block").agg(F.sum("n_tokens").alias("t")))
+    per = running(per, ["mix_name", "source"], _permuted("mix_name", "source", "block"), ["block"], F.col("t"), "before")
     have = texts.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("have"))
     g = goals.select("mix_name", "source", "cap", "quota").join(F.broadcast(have), ["mix_name", "source"])
     g = g.withColumn("full", F.least(F.col("cap"), F.floor(F.col("quota") / F.col("have"))).cast("int"))
@@ -98,22 +119,23 @@ def mixed(documents: DataFrame, mix: DataFrame, shards: int = SHARDS, path: str
     """(mix_name, shard, position, source, doc_id, round, n_tokens), the mixes in their shards."""
     goals = checkpoint(targets(mix))
     rows = checkpoint(chosen(checkpoint(texts_of(documents, goals, path)), goals))
-    blocks = rows.select("mix_name", "source", "block", "round").distinct()
+    blocks = checkpoint(rows.select("mix_name", "source", "block", "round").distinct())
     counts = blocks.groupBy("mix_name", "source").agg(F.count("*").alias("n")).collect()  # no more rows than mix_targets
+    totals = {r.mix_name: r.total for r in goals.groupBy("mix_name").agg(F.max("total").alias("total")).collect()}
     names = sorted({r.mix_name for r in counts})
     ranges = []
     for i, m in enumerate(names):
-        for source, quota in split_quotas({r.source: r.n for r in counts if r.mix_name == m}, shards, SEED + i).items():
+        for source, quota in split_quotas({r.source: r.n for r in counts if r.mix_name == m}, n_shards(totals[m], shards), SEED + i).items():
             ends = np.cumsum(quota).tolist()
             ranges.append((m, source, ends))
     spark = documents.sparkSession
     dealt = spark.createDataFrame(ranges, "mix_name string, source string, ends array<long>")
-    rank = F.row_number().over(Window.partitionBy("mix_name", "source").orderBy(_permuted("source", "mix_name", "block", "round"), "round", "block"))
-    placed = blocks.withColumn("_rank", rank).join(F.broadcast(dealt), ["mix_name", "source"])
-    placed = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("_rank")))).select("mix_name", "source", "block", "round", "shard")
-    out = rows.join(placed, ["mix_name", "source", "block", "round"])
-    # Shuffled within the shard by key; a shard is a stretch of ordered keys, never one task's list.
-    return out.select("mix_name", "shard", F.xxhash64(F.lit(SEED), "doc_id", "round", "mix_name").alias("position"), "source", "doc_id", "round", "n_tokens")
+    placed = running(blocks, ["mix_name", "source"], _permuted("source", "mix_name", "block", "round"), ["round", "block"], F.lit(1), "_rank")
+    placed = placed.join(F.broadcast(dealt), ["mix_name", "source"])  # MOST_SHARDS numbers for each row of mix_targets at most
+    placed = placed.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_rank")))).select("mix_name", "source", "block", "round", "shard")
+    out = checkpoint(rows.join(placed, ["mix_name", "source", "block", "round"]))
+    out = running(out, ["mix_name", "shard"], F.xxhash64(F.lit(SEED), "doc_id", "round", "mix_name"), ["doc_id", "round"], F.lit(1), "position")
+    return out.select("mix_name", "shard", "position", "source", "doc_id", "round", "n_tokens")
 
 
 def report(mixes: DataFrame, documents: DataFrame, mix: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -9,9 +9,11 @@ best packing found since. Texts of one size are interchangeable, so that only si
 Texts are spread over groups by hash, each of about GROUP_CONTAINERS containers' worth and at
 least GROUP_TEXTS texts, which bounds what one task holds; a group wastes at most its last
 container. Only a text that alone exceeds the capacity is divided, into full containers and a
-rest that is packed like a text. Search stops at NODES containers tried a group, which leaves
-the incumbent; the fillings around one largest text stop at FILLINGS found or 400 texts tried,
-so that a better one may be passed over. Between two texts of a container stand its separator tokens.
+rest that is packed like a text. The search is a budget: it stops at ``nodes`` containers tried
+a group, which leaves the incumbent, and the fillings around one largest text stop at
+``fillings`` found or ``tries`` texts tried, so that a better one may be passed over. With None
+for all three the search is exact within a group, in time that may grow exponentially with its
+texts. All texts are assigned either way. Between two texts of a container stand its separator tokens.
 
 Null texts are not assigned; empty texts have 0 tokens and are. A capacity that is null or not
 positive has no containers.
@@ -19,6 +21,7 @@ positive has no containers.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import pandas as pd
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from folioflow.context import checkpoint, read
 from folioflow.llm.tokens import VOCABULARY, sized
 
-GROUP_CONTAINERS, GROUP_TEXTS, NODES, FILLINGS = 300, 1_000, 2_000, 24
+GROUP_CONTAINERS, GROUP_TEXTS, NODES, FILLINGS, TRIES = 300, 1_000, 2_000, 24, 400
 
 
 class Sizes:
@@ -55,8 +58,9 @@ class Sizes:
             self.order.insert(bisect_right(self.order, s), s)
         self.count[s] += 1
 
-    def fillings(self, room: int, most: int = FILLINGS, tries: int = 400) -> list[tuple[int, ...]]:
+    def fillings(self, room: int, most: int | None = FILLINGS, tries: int | None = TRIES) -> list[tuple[int, ...]]:
         """Undominated sets that fit the room, least waste first; stops at a perfect one."""
+        most, tries = math.inf if most is None else most, math.inf if tries is None else tries
         found: list[tuple[int, tuple[int, ...]]] = []
         path: list[int] = []
         left = [tries]
@@ -115,8 +119,9 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Containers of sizes, as few as the search finds; every size must be within capacity."""
+def complete(sizes: list[int], capacity: int, nodes: int | None = NODES, fillings: int | None = FILLINGS, tries: int | None = TRIES) -> list[list[int]]:
+    """Containers of sizes, as few as the search finds; every size must be within capacity.
+    None sets a limit of the search aside."""
     if not sizes:
         return []
     total = sum(sizes)
@@ -125,7 +130,7 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[i
     if len(best) <= fewest:
         return best
     left, bins, todo, waste = Sizes(sizes), [], [], 0
-    budget = nodes + 2 * len(best)
+    budget = math.inf if nodes is None else nodes + 2 * len(best)
     while budget > 0:
         budget -= 1
         allowed = (len(best) - 1) * capacity - total
@@ -138,7 +143,7 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[i
         else:
             first = left.order[-1]
             left.take(first)
-            options = [(first, *f) for f in left.fillings(capacity - first)]
+            options = [(first, *f) for f in left.fillings(capacity - first, fillings, tries)]
             left.give(first)
         todo.append([o for o in reversed(options) if waste + capacity - sum(o) <= allowed])
         while todo and not todo[-1]:  # back to the last container with another filling
@@ -158,7 +163,7 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[i
     return best
 
 
-def pack(documents: DataFrame, containers: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def pack(documents: DataFrame, containers: DataFrame, path: str = VOCABULARY, nodes: int | None = NODES, fillings: int | None = FILLINGS, tries: int | None = TRIES) -> DataFrame:
     """(spec_id, spec_name, container, position, doc_id, part, token_start, n_tokens)."""
     sizes = checkpoint(sized(documents, "doc_id", path=path))
     specs = containers.where("capacity_tokens > 0 and spec_id is not null").select("spec_id", "spec_name", F.col("capacity_tokens").alias("cap"), F.greatest(F.coalesce("separator_tokens", F.lit(0)), F.lit(0)).alias("sep")).dropDuplicates(["spec_id"])
@@ -180,7 +185,7 @@ def pack(documents: DataFrame, containers: DataFrame, path: str = VOCABULARY) ->
         for i, w in enumerate(weight):
             at.setdefault(w, []).append(i)
         where, place = [0] * len(pdf), [0] * len(pdf)
-        for b, items in enumerate(complete(weight, cap + sep)):
+        for b, items in enumerate(complete(weight, cap + sep, nodes, fillings, tries)):
             for k, w in enumerate(items):
                 i = at[w].pop()
                 where[i], place[i] = b, k

@@ -28,4 +28,25 @@ def test_mix(spark):
     assert abs(sum(r.actual_share for k, r in rep.items() if k[0] == "x") - 1) < 1e-5
     assert 0 <= rep[("y", "big")].lacking_tokens < 30 and rep[("y", "small")].used_tokens == 0
     assert {r.shard for r in got if r.mix_name == "x"} <= set(range(M.SHARDS))
+    places = {}
+    for r in got:
+        places.setdefault((r.mix_name, r.shard), []).append(r)
+    for own in places.values():  # a rank in each shard, not in the order of ids or sources
+        assert sorted(r.position for r in own) == list(range(len(own)))
+    own = sorted(max(places.values(), key=len), key=lambda r: r.position)
+    assert [r.doc_id for r in own] != sorted(r.doc_id for r in own)
     assert M.mixed(d.limit(0), m).count() == 0 and M.mixed(d, m.limit(0)).count() == 0
+
+
+def test_running_sums_and_shards(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a" if i % 3 else "b", i, i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, i long, v long")
+    got = M.running(df, ["g"], F.xxhash64("i"), ["i"], F.col("v"), "before").withColumn("h", F.xxhash64("i")).collect()
+    for g in "ab":
+        before = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: (r.h % 2**64, r.i)):
+            assert r.before == before
+            before += r.v
+    assert M.n_shards(None) == M.SHARDS and M.n_shards(10**9) == 954 and M.n_shards(10**15) == M.MOST_SHARDS

@@ -55,3 +55,13 @@ def test_pack(spark):
     rep = {r.spec_id: r for r in P.report(P.pack(d, c), c).collect()}
     assert rep.keys() == {1, 2} and all(r.n_containers >= r.fewest_by_size and r.fullest <= r.capacity_tokens for r in rep.values())
     assert P.pack(d.limit(0), c).count() == 0 and P.pack(d, c.limit(0)).count() == 0
+
+
+def test_exact_search_has_no_limits():
+    rnd = random.Random(8)
+    for _ in range(25):
+        cap = rnd.randint(20, 60)
+        sizes = sorted((rnd.randint(cap // 6, cap // 2) for _ in range(10)), reverse=True)
+        got = P.complete(list(sizes), cap, None, None, None)
+        assert len(got) == optimum(sizes, cap) and sorted(x for b in got for x in b) == sorted(sizes)
+    assert len(P.complete([7] * 50 + [3] * 50, 10, None, None, None)) == 50
