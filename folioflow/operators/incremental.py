@@ -1,15 +1,17 @@
 """Processing only new or changed records.
 
 A listing of what is there now (key columns and content digests) is anti-joined with a
-manifest of what was last committed. A run writes its output into a folder named by the
-batch identifier, which is a digest of the work itself, and commits its manifest entries
-last; a run that dies in between is repeated under the same identifier and overwrites its
-own partial output, so that nothing is skipped and nothing appears twice.
+manifest of what was last committed. A run stages what is pending, works from that stage
+alone, writes its output into a folder named by the batch identifier, which is a digest of
+the work itself, and commits its manifest entries last; a run that dies in between is repeated
+under the same identifier and overwrites its own partial output, so that nothing is skipped
+and nothing appears twice.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,17 +69,53 @@ def plan_changes(listing: DataFrame, manifest: DataFrame, keys: Sequence[str], d
     return a.join(b, list(keys), "full_outer").select(*keys, action.alias("action"))
 
 
-def file_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files under a path as (path, size, checksum), the listing of a file source."""
+def file_stats(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files under a path as (path, size, modified); their contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("checksum"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def file_listing(spark: SparkSession, path: str, glob: str = "*", known: DataFrame | None = None) -> DataFrame:
+    """Files under a path as (path, size, modified, checksum), the listing of a file source.
+
+    With ``known``, an earlier such listing, files of which size and time are as they were keep
+    their checksum, and only those that differ are read. At most NAMED such files are read by
+    name; if more differ, all are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    columns = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("checksum")]
+    if known is None:
+        return files.load(path).select(*columns)
+    old = known.select("path", F.col("size").alias("_size"), F.col("modified").alias("_modified"), "checksum")
+    stats = file_stats(spark, path, glob).join(old, "path", "left")
+    same = F.col("checksum").isNotNull() & (F.col("size") == F.col("_size")) & F.col("modified").eqNullSafe(F.col("_modified"))
+    kept = stats.where(same).select("path", "size", "modified", "checksum")
+    names = [r.path for r in stats.where(~same).select("path").limit(NAMED + 1).collect()]
+    if not names:
+        return kept
+    if len(names) > NAMED:
+        return files.load(path).select(*columns)
+    return kept.unionByName(spark.read.format("binaryFile").load(names).select(*columns))
+
+
+#: Files that differ are read by name up to so many, manifests are folded into one from so many.
+NAMED, FOLD = 10_000, 50
+
+
+class Conflict(RuntimeError):
+    """Another run has committed since this one read the manifest; nothing of this one counts."""
 
 
 class Increment:
     """Runs over what is pending, with a manifest in ``root``.
 
-    ``root/manifest/batch=<id>`` holds committed keys and digests, ``root/out/batch=<id>``
-    the output. Output counts only if its batch is in the manifest (``output`` reads so)."""
+    A run first writes the pending rows to ``.staging`` and works from there alone, so that a
+    source that changes meanwhile is neither half processed nor taken for processed: what is
+    committed are the digests of just the rows that were worked. ``out/batch=<id>`` holds the
+    output, ``manifest/batch=<id>`` committed keys and digests; ``<id>`` is the run's number and a
+    digest of its rows, so that a run that died is repeated under its own name and overwrites
+    what it left. The number is claimed by creating a file that no two runs can create; a run
+    that finds it taken raises Conflict, and a claim that a dead run left is carried through or
+    dropped by the next one. Output counts only if its batch is in the manifest."""
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], digests: Sequence[str]):
         self.spark, self.root, self.keys, self.digests = spark, root.rstrip("/"), list(keys), list(digests)
@@ -87,45 +125,113 @@ class Increment:
         path = jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _committed(self) -> list[str]:
-        fs, path = self._path("manifest")
+    def _names(self, folder: str, prefix: str) -> list[str]:
+        fs, path = self._path(folder)
         if not fs.exists(path):
             return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch="))
+        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith(prefix))
+
+    def _committed(self) -> list[str]:
+        return self._names("manifest", "batch=")
 
     def manifest(self, schema: DataFrame) -> DataFrame:
         """The last committed digests of every key."""
-        names = self._committed()
+        rows = self._manifest()
+        return schema.select(*self.keys, *self.digests).limit(0) if rows is None else rows.drop("batch_no")
+
+    def _manifest(self) -> DataFrame | None:
+        """(keys, digests, batch_no): from the last fold of manifests and the batches after it."""
+        folds = self._names("manifest", "fold=")
+        after = folds[-1][5:] if folds else ""
+        names = folds[-1:] + [n for n in self._committed() if n[6:] > after]
         if not names:
-            return schema.select(*self.keys, *self.digests).limit(0)
+            return None
         rows = self.spark.read.parquet(*(f"{self.root}/manifest/{n}" for n in names))
-        return latest(rows, self.keys, ["batch_no"], [*self.digests, "batch_no"]).drop("batch_no")
+        return latest(rows, self.keys, ["batch_no"], [*self.digests, "batch_no"])
 
-    def output(self) -> DataFrame | None:
-        """All committed output; what a failed run left behind is not read."""
+    def fold(self) -> None:
+        """Puts all manifests committed so far into one, which later reads start from."""
         names = self._committed()
+        if names:
+            last = names[-1][6:]
+            self._manifest().write.mode("overwrite").parquet(f"{self.root}/.staging/fold={last}")
+            fs, to = self._path("manifest", f"fold={last}")
+            if not fs.exists(to):
+                fs.rename(self._path(".staging", f"fold={last}")[1], to)
+
+    def output(self, batch: str | None = None) -> DataFrame | None:
+        """All committed output, or a batch's; what a failed run left behind is not read."""
+        names = [n for n in self._committed() if batch in (None, n[6:])]
         return self.spark.read.option("basePath", f"{self.root}/out").parquet(*(f"{self.root}/out/{n}" for n in names)) if names else None
 
-    def run(self, listing: DataFrame, process: Callable[[DataFrame], DataFrame], fail_at: str = "") -> str | None:
-        """Processes what is pending and commits; the batch identifier, or None if nothing was.
+    def current(self) -> DataFrame | None:
+        """Of the committed output, which must hold the keys, each key's of its last batch."""
+        rows = self.output()
+        if rows is None:
+            return None
+        number = F.substring_index(F.col("batch").cast("string"), "-", 1).cast("int")
+        return rows.withColumn("batch_no", number).join(self._manifest().select(*self.keys, "batch_no"), [*self.keys, "batch_no"], "left_semi").drop("batch", "batch_no")
 
-        ``fail_at`` ("write" or "commit") raises there, for tests of recovery."""
-        todo = pending(listing, self.manifest(listing), self.keys, self.digests)
+    def run(self, listing: DataFrame, process: Callable[[DataFrame], DataFrame]) -> str | None:
+        """Processes what is pending and commits; the batch identifier, or None if nothing was."""
+        self._settle()
+        work = self._staged(pending(listing, self.manifest(listing), self.keys, self.digests))
+        number = len(self._committed())
         mark = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (*self.keys, *self.digests)))
-        n, s, x = todo.agg(F.count("*"), F.sum(F.shiftright(mark, 20)), F.bit_xor(mark)).first()
+        n, s, x = work.agg(F.count("*"), F.sum(F.shiftright(mark, 20)), F.bit_xor(mark)).first()
         if not n:
             return None
-        number = len(self._committed())
         batch = f"{number:06d}-{n}-{(s or 0) & (2**64 - 1):x}-{(x or 0) & (2**64 - 1):x}"
-        if fail_at == "write":
-            process(todo).limit(1).write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
-            raise RuntimeError("failed while writing")
-        process(todo).write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
-        if fail_at == "commit":
-            raise RuntimeError("failed before the commit")
-        todo.select(*self.keys, *self.digests, F.lit(number).alias("batch_no")).write.mode("overwrite").parquet(f"{self.root}/.staging/batch={batch}")
+        self._write(process(work), f"out/batch={batch}")
+        self._write(work.select(*self.keys, *self.digests, F.lit(number).alias("batch_no")), f".staging/batch={batch}")
+        self._commit(number, batch)
+        if (number + 1) % FOLD == 0:
+            self.fold()
+        return batch
+
+    def adopt(self, manifest: DataFrame) -> None:
+        """Takes over what another system committed, as the first batch of an empty manifest."""
+        if self._committed():
+            raise ValueError("the manifest is not empty")
+        self._write(manifest.select(*self.keys, *self.digests, F.lit(0).alias("batch_no")), ".staging/batch=000000-adopted")
+        self._write(manifest.select(*self.keys).limit(0), "out/batch=000000-adopted")
+        self._commit(0, "000000-adopted")
+
+    def _staged(self, todo: DataFrame) -> DataFrame:
+        to = f"{self.root}/.staging/work-{uuid.uuid4().hex}"
+        todo.write.parquet(to)
+        return self.spark.read.schema(todo.schema).parquet(to)
+
+    def _write(self, rows: DataFrame, to: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{to}")
+
+    def _commit(self, number: int, batch: str) -> None:
+        fs, claim = self._path("manifest", f"_claim-{number:06d}")
+        fs.mkdirs(claim.getParent())
+        try:
+            stream = fs.create(claim, False)
+        except Exception as e:
+            raise Conflict(json.dumps({"batch": batch, "error": "another run took this number"})) from e
+        stream.write(batch.encode())
+        stream.close()
+        self._rename(batch)
+
+    def _rename(self, batch: str) -> None:
         fs, to = self._path("manifest", f"batch={batch}")
-        fs.mkdirs(to.getParent())
-        if not fs.rename(self._path(".staging", f"batch={batch}")[1], to):
+        if not fs.exists(to) and not fs.rename(self._path(".staging", f"batch={batch}")[1], to):
             raise RuntimeError(json.dumps({"batch": batch, "error": "the manifest could not be committed"}))
-        return batch
+
+    def _settle(self) -> None:
+        """Ends what a run left that died between its claim and its commit: its output and its
+        manifest were whole by then, so that they are committed; a claim without a name is dropped."""
+        done = {n[6:12] for n in self._committed()}
+        for name in self._names("manifest", "_claim-"):
+            if name[7:] not in done:
+                fs, claim = self._path("manifest", name)
+                stream = fs.open(claim)
+                batch = bytes(stream.readAllBytes()).decode()
+                stream.close()
+                if batch and fs.exists(self._path(".staging", f"batch={batch}")[1]):
+                    self._rename(batch)
+                else:
+                    fs.delete(claim, False)

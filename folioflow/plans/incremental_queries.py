@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.context import read
-from folioflow.operators.incremental import digest, latest, parsed_digest, pending, plan_changes
+from folioflow.context import checkpoint_root, read
+from folioflow.operators.incremental import Increment, digest, latest, parsed_digest, plan_changes
 
 KEYS, DIGESTS = ["doc_id", "chunk_id"], ["source_hash", "output_hash"]
 
@@ -27,8 +29,13 @@ def committed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks to process now."""
-    return pending(current_chunks(spark, sf_dir), committed_state(spark, sf_dir), KEYS, DIGESTS).select(*KEYS)
+    """Chunks to process now: an incremental run whose manifest starts with what ``run_state``
+    says was committed, and whose output are the keys of the chunks it worked."""
+    run = Increment(spark, f"{checkpoint_root(spark)}/increment-{uuid.uuid4().hex}", KEYS, DIGESTS)
+    run.adopt(committed_state(spark, sf_dir))
+    now = current_chunks(spark, sf_dir)
+    batch = run.run(now, lambda work: work.select(*KEYS))
+    return run.output(batch).select(*KEYS) if batch else now.select(*KEYS).limit(0)
 
 
 def p3_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
