@@ -30,10 +30,17 @@ def book_years(blocks: DataFrame) -> DataFrame:
     return g.withColumn("_r", r).where("_r = 1").select("doc_id", "year", "n")
 
 
+#: More patterns than this are no table of fixed rows.
+MOST_PATTERNS = 10_000
+
+
 def first_match(df: DataFrame, text: str, patterns: DataFrame, key: str) -> DataFrame:
     """(key, name): of the table ``patterns`` (priority, pattern, name), which holds a few fixed
-    rows, the name of the first pattern that a text matches."""
-    rows = patterns.orderBy("priority").limit(1_000).collect()
+    rows, the name of the first pattern that a text matches. All patterns count; a table of
+    more than MOST_PATTERNS is refused."""
+    rows = patterns.orderBy("priority", "pattern").limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     name = F.lit(None).cast("string")
     for r in reversed(rows):
         name = F.when(F.col(text).rlike(r.pattern), r["name"]).otherwise(name)

@@ -113,3 +113,12 @@ def bilingual(paired: DataFrame) -> DataFrame:
     p = paired.select("doc_id", "chunk_id", F.struct("pos", F.concat_ws("\n\n", shown, said).alias("t")).alias("x"))
     g = p.groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list("x")).alias("x"))  # the blocks of one chunk
     return g.select("doc_id", "chunk_id", F.size("x").alias("n_pairs"), F.array_join(F.filter(F.transform("x", lambda y: y["t"]), lambda t: t != ""), "\n\n").alias("text"))
+
+
+def coverage(paired: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, id, state): every block of a book and of its translation: ``translated``, ``missing``
+    (it should have a translation), ``fixed`` (it need not), or ``unknown`` (the book has no such block)."""
+    t = paired.where("id is not null").select("doc_id", "id", F.lit(True).alias("_t")).distinct()
+    b = blocks.select("doc_id", "id", F.coalesce("translatable", F.lit(True)).alias("_need"))
+    state = F.when(F.col("_need").isNull(), "unknown").when(F.col("_t"), "translated").when(F.col("_need"), "missing").otherwise("fixed")
+    return b.join(t, ["doc_id", "id"], "full_outer").select("doc_id", "id", state.alias("state"))

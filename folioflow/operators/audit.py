@@ -10,14 +10,20 @@ from folioflow.operators.ordered import Ordered
 from folioflow.operators.terms import occurrences
 
 
+#: What is left in its own language.
+SPARED = {
+    "formula": r"^(?:\$\$|\\\[)", "authors": r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*\d+(?:,\d+)*", "affiliation": r"(?i)^\d*\s*(?:Department|School|Cent(?:er|re)|Institute|University|Faculty|Laborat|Hospital)",
+    "link": r"(?i)https?://|doi\.org|doi:", "reference": r"^[A-Z][^(\n]+\(\d{4}\)\.",
+}
+
+
 def untranslated(rows: DataFrame, keys: list[str], column: str = "text", least: int = 100, share: float = 0.85) -> DataFrame:
     """(keys, n_chars, n_ascii) of texts over a length that are mostly ASCII, without those that
     are formulas, lists of authors, affiliations, links or references."""
     t = T.strip(F.col(column))
-    spared = (
-        t.startswith("$$") | t.startswith(r"\[") | t.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*\d+(?:,\d+)*") | t.rlike(r"(?i)^\d*\s*(?:Department|School|Cent(?:er|re)|Institute|University|Faculty|Laborat|Hospital)")
-        | t.rlike(r"(?i)https?://|doi\.org|doi:") | t.rlike(r"^[A-Z][^(\n]+\(\d{4}\)\.")
-    )
+    spared = F.lit(False)
+    for pattern in SPARED.values():
+        spared = spared | t.rlike(pattern)
     ascii_ = F.length(F.regexp_replace(t, r"[^\x00-\x7F]", ""))
     r = rows.where(F.col(column).isNotNull()).withColumn("n_chars", F.length(t)).withColumn("n_ascii", ascii_).where(~spared)
     return r.where((F.col("n_chars") > least) & (F.col("n_ascii") / F.col("n_chars") > share)).select(*keys, "n_chars", "n_ascii")

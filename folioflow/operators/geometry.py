@@ -133,3 +133,93 @@ def likely_page(items: DataFrame, lines: DataFrame, least: float = 0.35) -> Data
     j = i.join(lines.select("doc_id", "page", normalized(F.col("text")).alias("b")), ["doc_id", "page"]).withColumn("r", ratio("a", "b"))
     best = j.groupBy("doc_id", "id").agg(F.max(F.struct("r", -F.col("page"))).alias("m"))
     return best.select("doc_id", "id", F.when(F.col("m.r") >= least, -F.col("m.col2")).alias("found"))
+
+
+def heading_sizes(b: DataFrame, above: float = 1.15, most: int = 6) -> DataFrame:
+    """(doc_id, size, place): the heights of a book's heading boxes that are so much above the usual
+    height of its blocks, the ``most`` greatest of them from the greatest down."""
+    usual = page_style(b).select("doc_id", "height")
+    sizes = b.where("kind = 'heading'").select("doc_id", F.round(F.col("y1") - F.col("y0"), 1).alias("size")).distinct().join(usual, "doc_id").where(F.col("size") >= above * F.col("height"))
+    top = F.slice(F.sort_array(F.collect_set("size"), asc=False), 1, most)
+    return sizes.groupBy("doc_id").agg(top.alias("t")).select("doc_id", F.posexplode("t").alias("place", "size")).select("doc_id", "size", (F.col("place") + 1).alias("place"))
+
+
+def column_mode(pages: DataFrame) -> DataFrame:
+    """(doc_id, columns): of a book's pages (doc_id, page, columns) the usual number, of two as usual the smaller."""
+    n = pages.groupBy("doc_id", "columns").agg(F.count("*").alias("k"))
+    return n.groupBy("doc_id").agg(F.max_by("columns", F.struct("k", -F.col("columns"))).alias("columns"))
+
+
+def routed_pages(b: DataFrame, thin: int = 20) -> DataFrame:
+    """(doc_id, page, route): ``scan`` for pages with hardly any text in books that look like
+    scans, ``layout`` for those with formulas or two columns, else ``text``."""
+    p = b.groupBy("doc_id", "page").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("k"), F.count_if(F.col("kind") == "formula").alias("f"))
+    p = p.join(page_columns(b), ["doc_id", "page"], "left").join(page_route(b).select("doc_id", "scan_like"), "doc_id")
+    return p.select("doc_id", "page", F.when(F.col("scan_like") & (F.col("k") < thin), "scan").when((F.col("f") > 0) | (F.col("columns") == 2), "layout").otherwise("text").alias("route"))
+
+
+def embedded_labels(b: DataFrame, chars: int = 120, pad: float = 0.0) -> DataFrame:
+    """(doc_id, page, figure, id): short texts, but no captions, that overlap a figure of their page, or
+    stand less than ``pad`` above or below it."""
+    f = b.where("kind = 'figure'").select("doc_id", "page", F.col("id").alias("figure"), *(F.col(c).alias("f" + c) for c in ("x0", "y0", "x1", "y1")))
+    t = b.where((F.col("kind") == "text") & (F.length(F.trim("text")).between(1, chars)) & ~F.col("text").rlike(CAPTION_START))
+    j = t.join(f, ["doc_id", "page"]).where((overlap(F.col("x0"), F.col("x1"), F.col("fx0"), F.col("fx1")) > 0) & (overlap(F.col("y0"), F.col("y1"), F.col("fy0"), F.col("fy1")) > -pad))
+    return j.select("doc_id", "page", "figure", "id")
+
+
+def caption_records(b: DataFrame) -> DataFrame:
+    """(doc_id, page, record, n_parts, text, x0, y0, x1, y1): captions of a page from left to right and
+    down, one that begins like a caption with those after it that do not; what stands before the first
+    such is left out, unless there is none on the page."""
+    c = b.where((F.col("kind") == "caption") & (F.trim("text") != "")).withColumn("starts", F.col("text").rlike(CAPTION_START).cast("int"))
+    page = Window.partitionBy("doc_id", "page")
+    c = c.withColumn("record", F.sum("starts").over(page.orderBy("x0", "y0", "id"))).withColumn("_any", F.max("starts").over(page)).where("record > 0 or _any = 0")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "id", F.trim("text").alias("t")))), lambda x: x["t"]), " ")
+    return c.groupBy("doc_id", "page", F.col("record").cast("int").alias("record")).agg(F.count("*").alias("n_parts"), parts.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+#: Fixed value: how captions begin.
+CAPTION_START = r"^\s*(?i:fig(?:ure)?|table|图|表)\.?\s*\d"
+
+
+def grown_boxes(boxes: list[tuple[float, ...]], near: float = 10.0) -> list[list[float]]:
+    """Boxes of which any two no more than ``near`` apart have become one box around both, again
+    and again, until no two are. The result does not depend on their order."""
+    todo, done = [list(b) for b in boxes], []
+    while todo:
+        a = todo.pop()
+        for i, m in enumerate(done):
+            if a[0] <= m[2] + near and m[0] - near <= a[2] and a[1] <= m[3] + near and m[1] - near <= a[3]:
+                del done[i]
+                todo.append([min(a[0], m[0]), min(a[1], m[1]), max(a[2], m[2]), max(a[3], m[3])])
+                break
+        else:
+            done.append(a)
+    return sorted(done)
+
+
+def image_boxes(b: DataFrame, width: float | None = None, height: float | None = None, near: float = 10.0) -> DataFrame:
+    """(doc_id, page, n, x0, y0, x1, y1): figures' boxes of each page, grown together. Given the page's
+    size, boxes of three quarters of it and more, which are scanned pages, are left out."""
+    if width and height:
+        b = b.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < 0.75 * width * height)
+    every = b.groupBy("doc_id", "page").agg(F.collect_list(F.array("x0", "y0", "x1", "y1")).alias("b"))
+
+    @F.pandas_udf("array<array<double>>")
+    def grown(s: pd.Series) -> pd.Series:
+        return pd.Series([grown_boxes([tuple(x) for x in page], near) for page in s])
+
+    r = every.select("doc_id", "page", F.posexplode(grown("b")).alias("n", "m"))
+    return r.select("doc_id", "page", (F.col("n") + 1).alias("n"), *(F.col("m")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+def figure_runs(b: DataFrame, row_gap: float = 90.0, column_gap: float = 36.0) -> DataFrame:
+    """(doc_id, page, run, n): figures of a page in reading order (y0, x0, id); one joins the run before
+    it if it stands beside or below the figure before it (``same_figure`` of neighbours only)."""
+    page = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "id")
+    p = b.select("doc_id", "page", "id", *(F.col(c) for c in ("x0", "y0", "x1", "y1")), *(F.lag(c).over(page).alias("_" + c) for c in ("x0", "y0", "x1", "y1")))
+    h, v = overlap(F.col("x0"), F.col("x1"), F.col("_x0"), F.col("_x1")), overlap(F.col("y0"), F.col("y1"), F.col("_y0"), F.col("_y1"))
+    row = (v >= 0.5 * F.least(F.col("y1") - F.col("y0"), F.col("_y1") - F.col("_y0"))) & (-h <= row_gap)
+    column = (h >= 0.5 * F.least(F.col("x1") - F.col("x0"), F.col("_x1") - F.col("_x0"))) & (-v <= column_gap)
+    p = p.withColumn("_new", F.when(F.coalesce(row | column, F.lit(False)), 0).otherwise(1))
+    return p.withColumn("run", F.sum("_new").over(page)).groupBy("doc_id", "page", F.col("run").cast("int").alias("run")).agg(F.count("*").alias("n"))

@@ -47,3 +47,34 @@ def html_title(markup: Column, stem: Column) -> Column:
 
 def html_author(markup: Column) -> Column:
     return F.regexp_extract(markup, r"(?is)<meta\s[^>]*name=[\"']author[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
+
+
+def bilingual_edition(blocks: DataFrame, translations: DataFrame) -> DataFrame:
+    """(doc_id, id, ord, html): each block in both languages where it has a translation (doc_id, id,
+    body), figures and formulas once, the others as they stand."""
+    b = blocks.join(translations.select("doc_id", "id", F.col("body").alias("_body")).dropDuplicates(["doc_id", "id"]), ["doc_id", "id"], "left")
+    t = F.coalesce("text", F.lit(""))
+    both = F.concat(F.lit('<div class="orig">'), escaped(t), F.lit('</div><div class="trans">'), escaped(F.col("_body")), F.lit("</div>"))
+    once = F.when(F.col("kind").isin("figure", "formula"), t).otherwise(escaped(t))
+    shown = F.when(F.col("_body").isNotNull() & ~F.col("kind").isin("figure", "formula"), both).otherwise(once)
+    return b.select("doc_id", "id", "ord", F.concat(F.lit('<section class="block '), F.coalesce("kind", F.lit("text")), F.lit('">'), shown, F.lit("</section>")).alias("html"))
+
+
+def edition_css(style: DataFrame, font: str = "Georgia") -> DataFrame:
+    """(doc_id, css): a sheet for each row of ``geometry.page_style``: margins and the size of type
+    measured there; a block is one line and a half high."""
+    size = F.greatest(F.lit(8.0), F.least(F.lit(16.0), F.round(F.col("height") / 1.5, 1)))
+    css = F.format_string("@page { margin: %.1fpt %.1fpt; }\nbody { font-family: %s; font-size: %.1fpt; line-height: 1.5; }\n", F.col("top"), F.col("left"), F.lit(font), size)
+    return style.select("doc_id", css.alias("css"))
+
+
+def ebook_html(markup: Column, css: Column) -> Column:
+    """A page as e-book makers want it: the sheet within its head, one being made if there is none,
+    and nothing underlined. Null gives null."""
+    sheet = F.concat(F.lit("<style>\n"), css, F.lit("</style>"))
+    plain = F.regexp_replace(markup, r"(?i)text-decoration\s*:\s*underline\s*;?", "")
+    plain = F.regexp_replace(plain, r"(?i)\s*style\s*=\s*([\"'])\s*\1", "")
+    head, html = r"(?i)<head(?:\s[^>]*)?>", r"(?i)<html(?:\s[^>]*)?>"
+    put = lambda tag, what: F.concat(F.split(plain, tag, 2)[0], F.regexp_substr(plain, F.lit(tag)), what, F.split(plain, tag, 2)[1])
+    made = F.concat(F.lit("<head>"), sheet, F.lit("</head>"))
+    return F.when(plain.rlike(head), put(head, sheet)).when(plain.rlike(html), put(html, made)).otherwise(F.concat(made, plain))

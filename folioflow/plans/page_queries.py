@@ -59,9 +59,9 @@ def page_number_lines(spark, d):
 
 
 def cleaned_exports(spark, d):
-    """Blocks of any kind with residue of a converter or lines of digits, cleaned."""
-    b = tables.blocks(spark, d, "text").where("text rlike '(?m)calibre|^:::|^\\\\s*[0-9]+\\\\s*$'")
-    return b.select("doc_id", "id", M.cleaned(F.col("text")).alias("text"))
+    """Every block that cleaning changes, as it is then."""
+    b = tables.blocks(spark, d, "text").select("doc_id", "id", "text", M.cleaned(F.col("text")).alias("clean"))
+    return b.where("not clean <=> text").select("doc_id", "id", F.col("clean").alias("text"))
 
 
 def structural_blocks(spark, d):
@@ -121,12 +121,6 @@ def book_years(spark, d):
     return D.book_years(tables.blocks(spark, d, "ord", "text", "is_reference"))
 
 
-def book_dois(spark, d):
-    """DOIs of books; texts here carry none, so that one is made of each sample's size."""
-    b = tables.blocks(spark, d, "ord", "text", "is_reference").withColumn("text", F.regexp_replace("text", r"n = (\d+)\)", "doi:10.1234/n.$1 )"))
-    return D.book_dois(b)
-
-
 def book_progress(spark, d):
     return S.progress(read(spark, d, "run_state"), read(spark, d, "chunks"))
 
@@ -135,7 +129,7 @@ def event_windows(spark, d):
     return S.event_windows(read(spark, d, "events"))
 
 
-QUERIES = {f.__name__: f for f in (reading_order, covered_text, figure_groups, page_style, page_columns, page_route, nearest_level, page_number_lines, cleaned_exports, structural_blocks, blank_line_parts, audited_pages, caption_pages, rendered_html, document_toc, patched_outputs, edition_blocks, language_settings, html_metadata, book_years, book_dois, book_progress, event_windows)}
+QUERIES = {f.__name__: f for f in (reading_order, covered_text, figure_groups, page_style, page_columns, page_route, nearest_level, page_number_lines, cleaned_exports, structural_blocks, blank_line_parts, audited_pages, caption_pages, rendered_html, document_toc, patched_outputs, edition_blocks, language_settings, html_metadata, book_years, book_progress, event_windows)}
 
 _BX = f"{B}, x as (select doc_id, id, kind, text, source_refs[1].page as page, source_refs[1].bbox[1] as x0, source_refs[1].bbox[2] as y0, source_refs[1].bbox[3] as x1, source_refs[1].bbox[4] as y1 from b where source_refs[1].page is not null and source_refs[1].bbox[4] is not null)"
 ORACLE = {
@@ -166,9 +160,12 @@ select doc_id, i - 1 as pos, length(l[i]) as n_chars from (select doc_id, l, unn
     "html_metadata": r"""select doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^# ([^\n]*)$', 1)), ''), cast(doc_id as varchar)) as title, coalesce(source, '') as author from documents""",
     "book_years": f"""with {B}, y as (select doc_id, ord, cast(unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:1[5-9]|20)[0-9][0-9])(?:$|[^0-9])', 1)) as int) as year from b where text is not null), c as (select doc_id, year, count(*) as n, min(ord) as f from y group by 1, 2)
 select doc_id, year, n from (select *, row_number() over (partition by doc_id order by n desc, f, year) as rn from c) where rn = 1""",
-    "book_dois": f"""with {B}, t as (select doc_id, ord, regexp_replace(text, 'n = (\\d+)\\)', 'doi:10.1234/n.\\1 )', 'g') as text, coalesce(is_reference, false) as ref from b), d as (select doc_id, ord, ref, rtrim(lower(unnest(regexp_extract_all(text, '10\\.\\d{{4,9}}/[^\\s"<>]+'))), '.,;)') as doi, row_number() over (partition by doc_id order by ord) as nth from t),
-k as (select doc_id, ord, row_number() over (partition by doc_id order by ord, id) as nth from b), e as (select d.doc_id, d.doi, min(d.ord) as f, count(*) as n, min(case when k.nth <= 15 and not d.ref then 0 else 1 end) as early from d join k on k.doc_id = d.doc_id and k.ord = d.ord group by 1, 2)
-select doc_id, doi, case when early = 0 then 'front' else 'repeated' end as way from (select *, row_number() over (partition by doc_id order by early, case when early = 0 then f else 0 end, n desc, f, doi) as rn from e where early = 0 or n > 1) where rn = 1""",
     "book_progress": "with d as (select distinct doc_id, chunk_id, 1 as d from run_state where status = 'committed'), g as (select c.doc_id, count(*) as n_chunks, count(d.d) as n_done from (select distinct doc_id, chunk_id from chunks) c left join d using (doc_id, chunk_id) group by 1) select *, cast(floor(25 + 50 * n_done / greatest(n_chunks, 1)) as int) as percent from g",
     "event_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
 }
+_ESC = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_T = "coalesce(text, '')"
+ORACLE["edition_blocks"] = f"""with {B}, l as (select *, cast(least(greatest(coalesce(level, 1), 1), 6) as varchar) as h from b)
+select doc_id, id, sha256(case kind when 'heading' then '<h' || h || ' id="' || id || '">' || {_ESC(_T)} || '</h' || h || '>' when 'formula' then '<div class="formula">' || {_T} || '</div>'
+  when 'table' then case when text like '<table%' then text else '<pre>' || {_ESC(_T)} || '</pre>' end when 'caption' then '<figcaption>' || {_ESC(_T)} || '</figcaption>' when 'footnote' then '<p class="footnote">' || {_ESC(_T)} || '</p>'
+  when 'figure' then '<figure><img src="' || {_ESC("regexp_extract(" + _T + ", '\\(([^)]*)\\)', 1)")} || '" alt="' || {_ESC("regexp_extract(" + _T + ", '!\\[([^\\]]*)\\]', 1)")} || '"></figure>' else '<p>' || {_ESC(_T)} || '</p>' end) as hash from l"""

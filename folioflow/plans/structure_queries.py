@@ -84,8 +84,8 @@ def caption_order(spark, d):
 
 
 def text_functions(spark, d):
-    """All scalar text functions on headings, captions and sources."""
-    b = _blocks(spark, d).where("kind in ('heading', 'caption')")
+    """All scalar text functions on all blocks."""
+    b = _blocks(spark, d).where("text is not null")
     t = F.col("text")
     return b.select(
         "doc_id", "id", T.contains_cjk(t).alias("cjk"), T.normalized(t).alias("normalized"), T.heading_text(t).alias("heading"), T.slug(t).alias("slug"), T.natural_key(F.col("id")).alias("sort_key"), T.cn_ordinal(F.coalesce("level", F.lit(31))).alias("ordinal"),
@@ -94,7 +94,7 @@ def text_functions(spark, d):
 
 
 def joined_lines(spark, d):
-    b = _blocks(spark, d).where("kind in ('text', 'footnote') and text like '%\n%'")
+    b = _blocks(spark, d, "text").where("text is not null")
     return b.select("doc_id", "id", T.join_lines(F.split("text", r"\r?\n")).alias("joined"))
 
 
@@ -109,6 +109,7 @@ def slug_ids(spark, d):
 
 QUERIES = {f.__name__: f for f in (kind_counts, chunk_plan, chunk_manifest, heading_cuts, plan_split, book_packing, forced_pieces, outline, sections, reference_state, heading_numbers, continuations, block_numbers, caption_targets, caption_order, text_functions, joined_lines, slug_ids)}
 
+_WIDE = r"[\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{3000}-\x{30FF}]"
 _CN = "[" + ", ".join(f"'{c}'" for c in T.CN_ORDINALS) + "]"
 _TEXT = _S("coalesce(text, '')")
 _MARK = f"'<!-- tb:' || id || ' -->' || chr(10) || {_TEXT} || chr(10)"
@@ -165,7 +166,10 @@ y as (select *, case when page is not null then last_value(f ignore nulls) over
 select doc_id, id, coalesce(caption_of, p, q) as target, case when caption_of is not null then 'named' when p is not null then 'page' when q is not null then 'before' else 'none' end as way from y where kind = 'caption'""",
     "caption_order": f"""with {B}, x as (select doc_id, id, ord, coalesce(lag(kind) over w = 'table' and kind = 'caption' and regexp_matches(text, '^(表|附表|[Tt][Aa][Bb][Ll][Ee])'), false) as h, lag(ord) over w as po from b window w as (partition by doc_id order by ord, id))
 select doc_id, id, row_number() over (partition by doc_id order by case when h then po else ord end, case when h then 0 else 1 end, ord, id) as place from x""",
-    "joined_lines": None,
+    "joined_lines": f"""with {B}, l as (select doc_id, id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: {_S("x")}), lambda x: x <> '') as l from b where text is not null),
+u as (select doc_id, id, l, unnest(generate_series(1, len(l))) as i from l), p as (select doc_id, id, i, case when i = len(l) then l[i] when regexp_matches(l[i], '\\p{{L}}-$') and regexp_matches(l[i + 1], '^\\p{{Ll}}') then regexp_replace(l[i], '-$', '')
+  when regexp_matches(l[i], '{_WIDE}$') and regexp_matches(l[i + 1], '^{_WIDE}') then l[i] else l[i] || ' ' end as x from u),
+j as (select doc_id, id, string_agg(x, '' order by i) as joined from p group by 1, 2) select l.doc_id, l.id, coalesce(joined, '') as joined from l left join j using (doc_id, id)""",
     "slug_ids": f"with {B}, h as (select doc_id, id, ord, {_SLUG} as slug from b where kind = 'heading'), n as (select *, row_number() over (partition by doc_id, slug order by ord, id) as n from h) select doc_id, id, case when n = 1 then slug else slug || '-' || cast(n - 1 as varchar) end as anchor from n",
     "text_functions": f"""with {B} select doc_id, id, regexp_matches(text, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{3040}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}]') as cjk, lower(regexp_replace({_NORM}, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) as normalized,
 regexp_replace(regexp_replace({_S('text')}, '^(?:[0-9]+(?:\\.[0-9]+)*[.、)]?\\s+|[一二三四五六七八九十]+、\\s*|[(（](?:[0-9]+|[一二三四五六七八九十]+)[)）]\\s*)', ''), '[.。]$', '') as heading,
@@ -173,6 +177,6 @@ regexp_replace(regexp_replace({_S('text')}, '^(?:[0-9]+(?:\\.[0-9]+)*[.、)]?\\s
 regexp_matches(text, '^\\s*[\\p{{Ll}}\\p{{Nd}}]') as goes_on, regexp_extract(text, '^((?i:fig(?:ure)?|table|图|表)\\.?\\s*[0-9]+)\\s*[.:：。]?\\s*', 1) as label,
 trim(substring(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif({_S('text')}, ''), id), 'https?://\\S+|(?i:doi:\\s*)?10\\.[0-9]{{4,9}}/\\S+', '', 'g'), '[\\\\/:*?"<>|]', '', 'g'), '\\s+', ' ', 'g')), 1, 50)) as stem,
 trim(text) <> '' and not regexp_matches(text, '^[A-Za-z][A-Za-z0-9+.-]*:|^[/\\\\]|(^|[/\\\\])\\.\\.([/\\\\]|$)') as safe, case when try_cast(text as double) between 1800 and 2000 then try_cast(text as double) end as year
-from b where kind in ('heading', 'caption')""",
+from b where text is not null""",
 }
 ORACLE = {k: v for k, v in ORACLE.items() if v}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = [f"folioflow.plans.{m}_queries" for m in ("incremental", "structure", "term", "state", "page")]
+MODULES = [f"folioflow.plans.{m}_queries" for m in ("incremental", "structure", "term", "state", "page", "document")]
 
 
 def queries() -> dict:
