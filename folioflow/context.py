@@ -35,10 +35,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder of
-    this machine is taken."""
+    Only where the session names none and runs on this machine alone (tests) a temporary
+    folder of it is taken; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "folioflow-checkpoint")
         os.makedirs(root[7:], exist_ok=True)
     return root

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators.folds import stream_fold
+from folioflow.operators.folds import stretched_fold
 from folioflow.operators.ordered import Ordered
 
 
@@ -26,12 +26,11 @@ def block_boundary_chunks(blocks: DataFrame, target: int = 12_000) -> DataFrame:
     fill = int(target * 0.6)
 
     def step(state, r):
-        no, full, ref = state
-        if full is not None and (r.ref != ref or full + r.size > target or (r.major and full >= fill)):
-            no, full = no + 1, None
-        return (no, (full or 0) + r.size, r.ref), no
+        full, ref = state
+        starts = full is None or r.ref != ref or full + r.size > target or (r.major and full >= fill)
+        return ((0 if starts else full) + r.size, r.ref), starts
 
-    return stream_fold(rows, ["doc_id"], ["ord", "id"], step, lambda: (1, None, None), "chunk_no")
+    return stretched_fold(rows, ["doc_id"], "ord", ["id"], step, lambda: (None, None), "chunk_no", number=True)
 
 
 def structural_chunks(rows: DataFrame, target: int = 6_000) -> DataFrame:
@@ -41,15 +40,13 @@ def structural_chunks(rows: DataFrame, target: int = 6_000) -> DataFrame:
     rows = rows.withColumn("size", F.coalesce("size", F.lit(0))).withColumn("heading", F.coalesce("heading", F.lit(False)))
 
     def step(state, r):
-        no, full, used = state
+        full, used = state  # not used: the chunk before is closed, the next row starts one
         if r.size > 2 * target:
-            no += used
-            return (no + 1, 0, False), no
-        if (r.heading and full > 0) or (used and full + r.size > target):
-            no, full = no + 1, 0
-        return (no, full + r.size, True), no
+            return (0, False), True
+        starts = not used or (r.heading and full > 0) or full + r.size > target
+        return ((0 if starts else full) + r.size, True), starts
 
-    return stream_fold(rows, ["doc_id"], ["ord"], step, lambda: (1, 0, False), "chunk_no")
+    return stretched_fold(rows, ["doc_id"], "ord", [], step, lambda: (0, False), "chunk_no", number=True)
 
 
 def cut_chunks(blocks: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -78,11 +75,11 @@ def suggested_cuts(marks: DataFrame, target: int = 12_000) -> DataFrame:
     references once 500 characters do."""
     least = int(target * 0.70)
 
-    def step(last, r):
-        cut = r.char_offset - last >= (500 if r.kind == "references" else least)
-        return (r.char_offset if cut else last), bool(cut)
+    def step(state, r):
+        cut = r.char_offset - state[0] >= (500 if r.kind == "references" else least)
+        return ((r.char_offset,) if cut else state), bool(cut)
 
-    return stream_fold(marks, ["doc_id"], ["ord", "id"], step, lambda: 0, "cut", "boolean")
+    return stretched_fold(marks, ["doc_id"], "ord", ["id"], step, lambda: (0,), "cut")
 
 
 def force_split(texts: DataFrame, target: int = 6_000) -> DataFrame:

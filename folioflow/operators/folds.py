@@ -1,16 +1,25 @@
 """Ordered folds: what the next row does depends on what was decided before.
 
-Rows of a key are sorted within their partition and folded as they stream by, in constant
-memory; only the columns that decide are moved, never texts. A key's rows are never gathered,
-so that a book of any length needs no more memory than another.
+Rows of a key are cut into stretches of their order, which are folded at once, as they stream
+by, in constant memory; only the columns that decide are moved, never texts. Each stretch is
+first folded as if the key began there and leaves its last state; then those whose
+predecessor left another state than they began with are folded again from it, until none is.
+The first stretch is right from the start and so, by turns, is each behind it; as a fold forgets
+where it began at the next cut that does not depend on it, one more turn mostly does. A key that
+holds a third of all rows so has as many tasks as it has stretches.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioflow.context import checkpoint
+from folioflow.operators.ordered import STRETCH
 
 
 def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, start: Callable, out: str, kind: str = "int") -> DataFrame:
@@ -36,3 +45,74 @@ def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
 
     spread = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return spread.mapInPandas(run, f"{fields}, `{out}` {kind}")
+
+
+def stretched_fold(df: DataFrame, keys: Sequence[str], position: str, ties: Sequence[str], step: Callable, start: Callable, out: str, number: bool = False, stretch: int = STRETCH) -> DataFrame:
+    """Adds a column: ``state, value = step(state, row)`` over each key's rows in the order of
+    (position, ties), where value is true or false; with ``number`` how many were true so far.
+
+    ``start()`` makes a key's first state; states are tuples of numbers, truth values and None.
+    ``position`` is a whole number that grows along the order. Nulls come as None."""
+    columns = df.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    rows = df.withColumn("_stretch", F.coalesce(F.floor(F.col(position) / stretch), F.lit(-1)).cast("long"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, count = None, None, 0
+        for frame in frames:
+            values, ends = [], []
+            clean = frame.astype(object).where(frame.notna(), None)
+            names = [*keys, "_stretch"]
+            for key, entry, row in zip(zip(*(clean[k] for k in names)), clean["_entry"], clean.drop(columns="_entry").itertuples(index=False)):
+                if key != last:
+                    if last is not None:
+                        ends.append((last, state, count))
+                    last, count = key, 0
+                    state = start() if entry is None else tuple(json.loads(entry))
+                state, value = step(state, row)
+                count += bool(value)
+                values.append(count if number else int(bool(value)))
+            frame["_value"], frame["_last"] = values, None
+            yield frame[[*columns, "_stretch", "_value", "_last"]]
+            if ends:
+                yield closing(ends)
+        if last is not None:
+            yield closing([(last, state, count)])
+
+    def closing(ends: list) -> pd.DataFrame:
+        out = pd.DataFrame(index=range(len(ends)), columns=[*columns, "_stretch", "_value", "_last"], dtype=object)
+        for i, name in enumerate([*keys, "_stretch"]):
+            out[name] = [k[i] for k, _, _ in ends]
+        out["_value"] = [n for _, _, n in ends]
+        out["_last"] = [json.dumps(s) for _, s, _ in ends]
+        return out
+
+    def folded(part: DataFrame) -> DataFrame:
+        spread = part.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", position, *ties)
+        return checkpoint(spread.mapInPandas(run, f"{fields}, _stretch long, _value int, _last string"))
+
+    on = [*keys, "_stretch"]
+    done = folded(rows.withColumn("_entry", F.lit(None).cast("string")))
+    of = done.where("_last is not null").select(*on, F.lit(None).cast("string").alias("_entry"), "_last", "_value")
+    over = Window.partitionBy(*keys).orderBy("_stretch")
+    while True:  # as often as there are stretches at most
+        fresh = of.withColumn("_new", F.lag("_last").over(over)).where("not (_new <=> _entry)").select(*on, F.col("_new").alias("_entry"))
+        if fresh.isEmpty():
+            break
+        fresh = checkpoint(fresh)
+        again = folded(_joined(rows, fresh, on))
+        done = checkpoint(_joined(done, fresh, on, "left_anti").unionByName(again))
+        ends = _joined(again.where("_last is not null").select(*on, "_last", "_value"), fresh, on)
+        of = checkpoint(_joined(of, fresh, on, "left_anti").unionByName(ends.select(of.columns)))
+    kept = done.where("_last is null")
+    if not number:
+        return kept.select(*columns, (F.col("_value") == 1).alias(out))
+    base = of.select(*on, F.coalesce(F.sum("_value").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("_base"))
+    return _joined(kept, base, on).select(*columns, (F.col("_value") + F.col("_base")).alias(out))
+
+
+def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of which null keys equal each other."""
+    b = b.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    names = [f"_on_{k}" for k in on]
+    return a.join(b, [a[k].eqNullSafe(b[n]) for k, n in zip(on, names)], how).drop(*names)
