@@ -285,12 +285,27 @@ def keyed(glossary: DataFrame) -> DataFrame:
     return p
 
 
+#: Entries of a block that one task compares with the whole block.
+PART = 256
+
+
+def blocked_pairs(keys: DataFrame, part: int = PART) -> DataFrame:
+    """Pairs x, y (x.term_key < y.term_key) of rows (doc_id, term_key, key) that share a block. A
+    block of more than ``part`` entries is cut into parts by hash, each of which meets the whole
+    block in a task of its own, so that no book and no code is one task's."""
+    big = keys.groupBy("doc_id", "key").agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).where("_parts > 1")
+    sized = keys.join(big, ["doc_id", "key"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    x = sized.withColumn("_part", F.pmod(F.xxhash64("term_key"), F.col("_parts")).cast("int")).alias("x")
+    y = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("doc_id", "key", "_part")]
+    return x.join(y, [*same, F.col("x.term_key") < F.col("y.term_key")])
+
+
 def linked_pairs(entries: DataFrame) -> DataFrame:
     """(doc_id, a, b, link, given): compared pairs of distinct entries that are linked, or would
     be if nothing else fits (link 1, with the given names of the fuller one)."""
-    keys = entries.select("doc_id", "term_key", F.explode("keys").alias("key"))
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.term_key") < F.col("y.term_key")))
-    pairs = pairs.select(F.col("x.doc_id").alias("doc_id"), F.col("x.term_key").alias("a"), F.col("y.term_key").alias("b")).distinct()
+    keys = checkpoint(entries.select("doc_id", "term_key", F.explode("keys").alias("key")))
+    pairs = blocked_pairs(keys).select(F.col("x.doc_id").alias("doc_id"), F.col("x.term_key").alias("a"), F.col("y.term_key").alias("b")).distinct()
     side = lambda k: entries.select("doc_id", F.col("term_key").alias(k), F.struct("names", "target").alias("n" + k))
     both = pairs.join(side("a"), ["doc_id", "a"]).join(side("b"), ["doc_id", "b"])
 

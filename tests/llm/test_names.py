@@ -35,3 +35,13 @@ def test_groups(spark):
         got.setdefault(r.root, set()).add(r.term_key)
     assert sorted(map(sorted, got.values())) == [[1, 2, 3, 4, 12], [5], [6], [7], [10], [13, 14]]
     assert N.groups(g.limit(0)).count() == 0
+
+
+def test_large_blocks_are_cut(spark):
+    from folioflow.llm import names as N
+
+    rows = [("a", i, "hot") for i in range(90)] + [("b", i, "k") for i in range(100, 103)] + [("b", 100, "j"), ("c", 200, "k")]
+    keys = spark.createDataFrame(rows, "doc_id string, term_key long, key string")
+    got = [tuple(r) for r in N.blocked_pairs(keys, 8).selectExpr("x.term_key a", "y.term_key b").collect()]
+    want = [(i, j) for j in range(90) for i in range(j)] + [(100, 101), (100, 102), (101, 102)]
+    assert sorted(got) == sorted(want)
