@@ -154,8 +154,6 @@ select doc_id, page, case when nl >= 3 and nr >= 3 and r - l > 2 then 2 else 1 e
     "page_route": f"""with {_BX}, p as (select doc_id, page, coalesce(sum(length(text)), 0) as k from x group by 1, 2), g as (select doc_id, count(*) as n_pages, count(*) filter (where k < 20) as n_thin, cast(sum(k) as bigint) as n_chars from p group by 1)
 select *, n_thin >= 0.35 * n_pages or n_chars < greatest(80, 12 * n_pages) as scan_like from g""",
     "nearest_level": f"with {_BX} select doc_id, id, case when abs(y1 - y0 - 12) <= abs(y1 - y0 - 25) and abs(y1 - y0 - 12) <= abs(y1 - y0 - 38) then 1 when abs(y1 - y0 - 25) <= abs(y1 - y0 - 38) then 2 else 3 end as level from x where kind = 'heading'",
-    "blank_line_parts": r"""with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(13) || chr(10), chr(10)), '\n[\s]*\n'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') as l from documents where text not like '%```%' and text not like '%~~~%')
-select doc_id, i - 1 as pos, length(l[i]) as n_chars from (select doc_id, l, unnest(generate_series(1, len(l))) as i from p)""",
     "language_settings": "select doc_id, case when lower(lang) in ('zh', 'en', 'ja', 'ko', 'fr', 'de', 'es') then lower(lang) else 'default' end as code, case when lower(lang) = 'zh' then 'zh-CN' when lower(lang) in ('ja', 'ko', 'fr', 'de', 'es') then lower(lang) else 'en' end as html_lang from documents",
     "html_metadata": r"""select doc_id, coalesce(nullif(trim(regexp_extract(text, '(?m)^# ([^\n]*)$', 1)), ''), cast(doc_id as varchar)) as title, coalesce(source, '') as author from documents""",
     "book_years": f"""with {B}, y as (select doc_id, ord, cast(unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:1[5-9]|20)[0-9][0-9])(?:$|[^0-9])', 1)) as int) as year from b where text is not null), c as (select doc_id, year, count(*) as n, min(ord) as f from y group by 1, 2)

@@ -112,10 +112,15 @@ MF = "mf as (select * exclude (rn) from (select *, row_number() over (partition
 _MC = f"{MF}, mc as (select doc_id, c.id as chunk_id, max({_HASH('c.source_hash')}) as mh, 1 as inm from (select doc_id, unnest(chunks) as c from mf) group by 1, 2)"
 _RS = f"rs as (select doc_id, chunk_id, {_HASH('source_hash')} as sh, {_HASH('output_hash')} as oh from (select *, row_number() over (partition by doc_id, chunk_id order by run_no desc, updated_at desc) as rn from run_state where status = 'committed') where rn = 1)"
 _BLANK = "regexp_matches(output, '^[\\s\\p{Z}]*$')"
-_PLAN = f"""{C}, {_MC}, {_RS}, pl as (select c.doc_id, c.chunk_id, case when output is null then 'missing_output' when output = '' then 'empty_output' when {_BLANK} then 'blank_output' when mc.mh <> sha256(source) then 'manifest_source_hash_changed'
-  when rs.doc_id is null then 'untracked_existing_output' when rs.sh is distinct from sha256(source) then 'source_hash_changed_since_record' when rs.oh is distinct from sha256(output) then 'output_hash_changed_since_record' else '' end as reason
-  from c left join mc using (doc_id, chunk_id) left join rs using (doc_id, chunk_id)),
-pa as (select doc_id, chunk_id, case when reason = '' then 'unchanged' when reason in ('untracked_existing_output', 'output_hash_changed_since_record') then 'record' else 'translate' end as action, reason from pl)"""
+_PLAN = f"""{_OCC}, {_MC}, {_RS},
+tn as (select o.doc_id, o.chunk_id, g.source as name, row_number() over (partition by o.doc_id, o.chunk_id order by coalesce(g.frequency, 0) desc, g.source, g.term_key) as rn from o join glossary g on g.term_key = o.term_key where g.source is not null and g.source <> ''),
+us as (select doc_id, chunk_id, coalesce(entity_ids_used, []) as ids, provenance from (select *, row_number() over (partition by doc_id, chunk_id order by run_no desc, updated_at desc) as rn from run_state where status = 'committed') where rn = 1),
+dr as (select distinct tn.doc_id, tn.chunk_id, true as dr from tn join us on us.doc_id = tn.doc_id and us.chunk_id = tn.chunk_id where tn.rn <= 50 and coalesce(us.provenance, '') <> 'bypassed_reference' and not list_contains(us.ids, tn.name)),
+pl as (select c.doc_id, c.chunk_id, case when output is null then 'missing_output' when output = '' then 'empty_output' when {_BLANK} then 'blank_output' when mc.mh <> sha256(source) then 'manifest_source_hash_changed'
+  when rs.doc_id is null then 'untracked_existing_output' when rs.sh is distinct from sha256(source) then 'source_hash_changed_since_record' when dr.dr and rs.oh is distinct from sha256(output) then 'glossary_term_selection_changed_ignored,output_hash_changed_since_record'
+  when dr.dr then 'glossary_term_selection_changed_ignored' when rs.oh is distinct from sha256(output) then 'output_hash_changed_since_record' else '' end as reason
+  from c left join mc using (doc_id, chunk_id) left join rs using (doc_id, chunk_id) left join dr using (doc_id, chunk_id)),
+pa as (select doc_id, chunk_id, case when reason in ('', 'glossary_term_selection_changed_ignored') then 'unchanged' when reason = 'untracked_existing_output' or suffix(reason, 'output_hash_changed_since_record') then 'record' else 'translate' end as action, reason from pl)"""
 _GATE = f"""{C}, {_MC}, cc as (select c.*, 1 as has from c where doc_id in (select doc_id from mf where chunks is not null)),
 g as (select coalesce(cc.doc_id, mc.doc_id) as doc_id, coalesce(cc.chunk_id, mc.chunk_id) as chunk_id, case when inm is null then 'orphan' when has is null then 'missing_source' when mh <> sha256(source) then 'stale_source' when output is null then 'missing_output' when output = '' then 'empty_output' when {_BLANK} then 'blank_output' else '' end as error,
   coalesce(octet_length(encode(source)) > 0 and octet_length(encode(output)) < octet_length(encode(source)) * 0.1, false) as short from mc full outer join cc on cc.doc_id = mc.doc_id and cc.chunk_id = mc.chunk_id),
