@@ -294,6 +294,9 @@ def blocked_pairs(keys: DataFrame, part: int = PART) -> DataFrame:
     block of more than ``part`` entries is cut into parts by hash, each of which meets the whole
     block in a task of its own, so that no book and no code is one task's."""
     big = keys.groupBy("doc_id", "key").agg(F.ceil(F.count("*") / part).cast("int").alias("_parts")).where("_parts > 1")
+    if big.isEmpty():
+        x, y = keys.alias("x"), keys.alias("y")
+        return x.join(y, [*(F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("doc_id", "key")), F.col("x.term_key") < F.col("y.term_key")])
     sized = keys.join(big, ["doc_id", "key"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     x = sized.withColumn("_part", F.pmod(F.xxhash64("term_key"), F.col("_parts")).cast("int")).alias("x")
     y = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("y")
