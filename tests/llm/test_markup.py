@@ -43,3 +43,42 @@ def test_table(spark):
     assert sorted(map(tuple, M.found(df).collect())) == [("d", "1", "html"), ("d", "4", "html"), ("d", "4", "wiki")]
     assert sorted((r.id, r.text) for r in M.cleaned(df).collect()) == [("1", "a b"), ("3", None), ("4", "A & b")]
     assert M.found(df.limit(0)).count() == 0
+
+
+def test_constructs_of_any_length(trees):
+    long = "word and " * 500
+    for text, want in ((f"Here $${'x + ' * 900}y$$ holds.", ["latex"]), (f"A {{{{cite|note={long}}}}} here", ["wiki"]), (f"see [{long}](https://a.example/b) now", ["markdown"]), (f"a <span class=\"{'c ' * 300}\">b</span>", ["html"])):
+        assert M.families(M.labelled(text, trees)) == want
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert M.clean(deep, trees).strip() == "x"
+
+
+def test_decoding_is_the_best_labelling():
+    import itertools
+    import random
+
+    rnd = random.Random(2)
+    texts = ["<code><b>x</b> <i>y</i></code> <b>z</b>", "<pre><code>a <b>b</b></code></pre> <i>c</i>", "<code>a <code><b>b</b></code></code>", "<b>a <code>b <i>c</i></code></b>"]
+    for text in texts * 12:
+        roots = M.parse(text)
+        order = M.flat(roots)
+        score = [rnd.uniform(-3, 3) for _ in order]
+
+        def allowed(labels, order=order):
+            on = {id(n): y for n, y in zip(order, labels)}
+            for n in order:
+                if on[id(n)]:
+                    up, keepers = n.parent, []
+                    while up is not None:
+                        if M._keeps(up) and on[id(up)]:
+                            keepers.append(up)
+                        up = up.parent
+                    top = keepers[-1] if keepers else None
+                    if top is not None and not (top.name == "pre" and M._code_tag(n)):
+                        return False
+            return True
+
+        best = max(sum(s for s, y in zip(score, labels) if y) for labels in itertools.product((0, 1), repeat=len(order)) if allowed(labels))
+        M.decode(order, score)
+        got = [n.label for n in order]
+        assert allowed(got) and abs(sum(s for s, y in zip(score, got) if y) - best) < 1e-9
