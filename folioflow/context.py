@@ -39,7 +39,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     folder of it is taken; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "folioflow-checkpoint")
         os.makedirs(root[7:], exist_ok=True)
